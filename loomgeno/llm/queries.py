@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgeno.llm import bpe, fingerprint, mixing, sharding, simhash, urls
+from loomgeno.llm import bpe, chat, fingerprint, mixing, rpforest, sharding, simhash, urls
 
 
 def vocabulary() -> str:
@@ -24,6 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    return chat.report(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(_table(spark, sf_dir, "pages"))
 
@@ -44,6 +50,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.link(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
