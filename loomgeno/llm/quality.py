@@ -183,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_lab
     names = ["y", "text", "source", "lang", "n_chars"]
     got = taught.select(*names).unionByName(pool.select(*names)).mapInArrow(_features, "y int, content array<double>, page array<long>").toArrow()
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, dtype=int)
-    text = np.array(got["content"].to_pylist()).reshape(len(y), -1)
-    pages = np.array(got["page"].to_pylist(), dtype=int).reshape(len(y), -1)
+    text = np.array(got["content"].to_pylist(), dtype=float).reshape(len(y), len(content("")))
+    pages = np.array(got["page"].to_pylist(), dtype=int).reshape(len(y), len(page(None, None, None)))
     # Rows arrive in any order: sorted, so that reruns agree.
     order = np.lexsort([*text.T, *pages.T, y]) if len(y) else np.zeros(0, dtype=int)
     y, text, pages = y[order], text[order], pages[order]
