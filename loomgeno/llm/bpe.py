@@ -19,6 +19,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -73,15 +74,34 @@ PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
+def _odd() -> frozenset[str]:
     """Numbers that aren't decimal digits, and separators that only `re` takes for white space."""
-    return re.compile("[\x1c-\x1f" + "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]")
+    return frozenset("\x1c\x1d\x1e\x1f" + "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")))
 
 
 def pattern_for(text: str) -> re.Pattern:
     if text.isascii():
         return pieces_pattern() if any(c in text for c in "\x1c\x1d\x1e\x1f") else ASCII_PIECES
-    return pieces_pattern() if _odd().search(text) else PLAIN_PIECES
+    return PLAIN_PIECES if _odd().isdisjoint(text) else pieces_pattern()
+
+
+class _Known(dict):
+    """Ids of pieces seen lately. Two generations: when the young one is full it becomes the old one, so what is still
+    in use survives and memory stays bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.make(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Transducer:
@@ -96,14 +116,18 @@ class Transducer:
         self.token = {i: as_bytes(s) for s, i in vocab.items() if s not in self.added}
         self.token |= {i: s.encode() for s, i in self.added.items()}
         self.single = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # A pair of ids is one integer; ranks order the merges.
+        self.pairs: dict[int, int] = {}
+        self.made: list[int] = []
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         for rank, (a, b) in enumerate(merges):
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pairs.setdefault(vocab[a] << 20 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.lookahead = self._sufficient_lookahead()
         self.window = max(4096, 2 * self.lookahead)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        self.table = np.array([self.token.get(i, b"") for i in range(max(self.token) + 1)], dtype=object)
+        self.known = _Known(self._piece)
 
     def _sufficient_lookahead(self) -> int:
         """Most bytes, before the end of what has been read, at which later bytes can still move a token boundary.
@@ -114,12 +138,12 @@ class Transducer:
         spine: list[tuple[int, ...]] = [()] * (max(self.token) + 1)
         for i in self.token:
             spine[i] = (i,)
-        order = sorted(self.pairs.items(), key=lambda x: x[1][0])
-        for (a, _), (_, ab) in order:
+        order = [(pair >> 20, pair & 0xFFFFF, self.made[rank]) for pair, rank in sorted(self.pairs.items(), key=lambda x: x[1])]
+        for a, _, ab in order:
             spine[ab] = (ab, *spine[a])
         reach = [0] * len(spine)
         longest = 0
-        for (a, b), (_, ab) in reversed(order):
+        for a, b, ab in reversed(order):
             far = len(self.token[a]) + max(reach[a], reach[ab])
             longest = max(longest, far)
             for x in spine[b]:
@@ -129,38 +153,39 @@ class Transducer:
     def _merge(self, data: bytes) -> list[int]:
         """Ids of a few bytes: the merge of least rank, leftmost first, again and again."""
         ids = [self.single[b] for b in data]
-        pairs, n = self.pairs, len(ids)
-        if n < 24:
-            get = pairs.get
-            while n > 1:
-                best, at = None, -1
-                for i in range(n - 1):
-                    if (p := get((ids[i], ids[i + 1]))) is not None and (best is None or p < best):
-                        best, at = p, i
-                if best is None:
+        get, made, n, none = self.pairs.get, self.made, len(ids), 1 << 40
+        if n < 2:
+            return ids
+        if n < 64:
+            ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+            while (rank := min(ranks)) != none:
+                i = ranks.index(rank)
+                ids[i] = ab = made[rank]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = get(ids[i - 1] << 20 | ab, none)
+                if i < len(ranks):
+                    ranks[i] = get(ab << 20 | ids[i + 1], none)
+                elif not ranks:
                     break
-                ids[at : at + 2] = [best[1]]
-                n -= 1
             return ids
         # Linked list and heap for long pieces.
-        after, before, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
-        for i in range(n - 1):
-            if p := pairs.get((ids[i], ids[i + 1])):
-                heap.append((p[0], i, ids[i], ids[i + 1], p[1]))
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (rank := get(a << 20 | b, none)) != none]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b, ab = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             if not alive[i] or ids[i] != a or (j := after[i]) < 0 or ids[j] != b:
                 continue
-            ids[i], alive[j] = ab, False
+            ids[i], alive[j] = (ab := made[rank]), False
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if p := pairs.get((ab, ids[k])):
-                    heapq.heappush(heap, (p[0], i, ab, ids[k], p[1]))
-            if (h := before[i]) >= 0 and (p := pairs.get((ids[h], ab))):
-                heapq.heappush(heap, (p[0], h, ids[h], ab, p[1]))
+                if (rank := get(ab << 20 | ids[k], none)) != none:
+                    heapq.heappush(heap, (rank, i, ab, ids[k]))
+            if (h := before[i]) >= 0 and (rank := get(ids[h] << 20 | ab, none)) != none:
+                heapq.heappush(heap, (rank, h, ids[h], ab))
         return [x for x, keep in zip(ids, alive) if keep]
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
@@ -183,37 +208,33 @@ class Transducer:
     def _piece(self, piece: str) -> bytes:
         """Little-endian ids of one piece."""
         raw = piece.encode()
-        ids = self._merge(raw) if len(raw) <= self.window else self.stream([raw])
-        out = np.fromiter(ids, dtype="<u4").tobytes()
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+        if len(raw) <= self.window:
+            return array("I", self._merge(raw)).tobytes()
+        return np.fromiter(self.stream([raw]), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Little-endian 32-bit ids of a whole text, in blocks."""
-        known, one = self.known, self._piece
+        known = self.known.__getitem__
         for k, part in enumerate(self.split.split(text) if self.split else [text]):
             if k % 2:
                 yield self.added[part].to_bytes(4, "little")
             elif part:
                 pattern = pattern_for(part)
                 if len(part) <= 16 * BLOCK:
-                    yield b"".join([known.get(p) or one(p) for p in pattern.findall(part)])
+                    yield b"".join(map(known, pattern.findall(part)))
                     continue
                 found = pattern.finditer(part)
                 while block := list(islice(found, BLOCK)):
-                    yield b"".join([known.get(p) or one(p) for p in map(re.Match.group, block)])
+                    yield b"".join([known(m[0]) for m in block])
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode(text)), dtype="<u4").tolist()
 
-    def decode(self, blocks: Iterable[Iterable[int]]) -> Iterator[str]:
+    def decode(self, blocks: Iterable[list[int] | np.ndarray]) -> Iterator[str]:
         """Text of blocks of ids; the decoder's state carries a character split between blocks."""
-        state, get = codecs.getincrementaldecoder("utf-8")("replace"), self.token.__getitem__
+        state = codecs.getincrementaldecoder("utf-8")("replace")
         for ids in blocks:
-            yield state.decode(b"".join(map(get, ids)))
+            yield state.decode(b"".join(self.table[np.asarray(ids, dtype=np.int64)].tolist()))
         yield state.decode(b"", True)
 
 
@@ -233,7 +254,7 @@ def _digests(path: str):
                 for raw in blocks:
                     h.update(raw)
                     count += len(raw) // 4
-                arrays = (np.frombuffer(r[i : i + 4 * BLOCK], dtype="<u4").tolist() for r in blocks for i in range(0, len(r), 4 * BLOCK))
+                arrays = (np.frombuffer(r[i : i + 4 * BLOCK], dtype="<u4") for r in blocks for i in range(0, len(r), 4 * BLOCK))
                 for s in t.decode(arrays):
                     g.update(s.encode())
                 n.append(count)
