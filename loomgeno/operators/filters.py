@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgeno.functions import genotype as G
+from loomgeno.operators.graph import checkpoint
 
 #: Copies of each allele that a code shows for certain.
 ONES = {"11": 2, "12": 1, "1N": 1, "2N": 0, "22": 0, "NN": 0}
@@ -66,7 +67,7 @@ def founder_progeny(parents: DataFrame, least: int, most_rounds: int = 50) -> Da
     for _ in range(most_rounds):
         few = now.groupBy("founder").agg(F.countDistinct("ind").alias("n")).where(F.col("n") < least)
         gone = now.join(few, "founder", "left_semi").select("ind").distinct()
-        now = now.join(gone, "ind", "left_anti")
+        now = checkpoint(now.join(gone, "ind", "left_anti"))
         if (n := now.count()) == before:
             return now
         before = n

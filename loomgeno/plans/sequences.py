@@ -1 +1,137 @@
-"""Queries."""
+"""Queries of ordered operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgeno.operators import sequences as S
+from loomgeno.plans.registry import query
+from loomgeno.plans.views import GENO, MAP, OBS, geno, marker_map, observations, table
+
+RUNS = f"""{OBS}, ch AS (SELECT *, CASE WHEN t = 1 OR sym IS DISTINCT FROM lag(sym) OVER (PARTITION BY seq ORDER BY t) THEN 1 ELSE 0 END AS c FROM obs),
+rn AS (SELECT *, sum(c) OVER (PARTITION BY seq ORDER BY t) AS run FROM ch), seg AS (SELECT seq, any_value(sym) AS sym, min(t) AS first, max(t) AS last, count(*) AS n FROM rn GROUP BY seq, run)"""
+
+
+@query(f"WITH {RUNS} SELECT seq, sym, first, last, n FROM seg")
+def state_segments(spark, d):
+    return S.segments(observations(spark, d), "seq", "t", "sym").select("seq", "sym", "first", "last", "n")
+
+
+@query(f"WITH {RUNS} SELECT seq, string_agg(first || '-' || coalesce(sym::VARCHAR, 'NA'), '-' ORDER BY first) || '-' || (max(last) + 1) AS path FROM seg GROUP BY 1")
+def jump_paths(spark, d):
+    return S.jump_paths(observations(spark, d), "seq", "t", "sym")
+
+
+@query(f"WITH {OBS} SELECT seq, t, coalesce(sym::VARCHAR, 'NA') AS state FROM obs")
+def states_of_paths(spark, d):
+    return S.states_of_path(S.jump_paths(observations(spark, d), "seq", "t", "sym"), "seq")
+
+
+@query(f"WITH {OBS}, m AS (SELECT seq, CASE WHEN sym <> lag(sym) OVER (PARTITION BY seq ORDER BY t) THEN 1 ELSE 0 END AS m FROM obs WHERE sym IS NOT NULL) SELECT seq, sum(m)::BIGINT AS n FROM m GROUP BY 1")
+def recombination_counts(spark, d):
+    return S.recombinations(observations(spark, d), "seq", "t", "sym")
+
+
+@query(f"WITH {MAP} SELECT lg, marker, round((lead(pos) OVER (PARTITION BY lg ORDER BY pos, marker) - pos) * 0.01, 6) AS morgan FROM map")
+def marker_distances(spark, d):
+    return S.distances(marker_map(spark, d)).select("lg", "marker", F.round("morgan", 6).alias("morgan"))
+
+
+@query(f"""WITH {MAP}, c AS (SELECT *, CASE WHEN coalesce(pos - lag(pos) OVER (PARTITION BY lg ORDER BY pos, marker) > 1.05, true) THEN 1 ELSE 0 END AS c FROM map), r AS (SELECT *, sum(c) OVER (PARTITION BY lg ORDER BY pos, marker) AS run FROM c)
+SELECT lg, run::BIGINT AS run, count(*) AS n, round(min(pos), 4) AS first, round(max(pos), 4) AS last FROM r GROUP BY 1, 2""")
+def close_marker_runs(spark, d):
+    return S.close_runs(marker_map(spark, d), 1.05).select("lg", F.col("run").cast("long").alias("run"), "n", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"))
+
+
+@query(f"""WITH {OBS}, o AS (SELECT *, t * t % 17 + 20 * t AS pos FROM obs WHERE sym IS NOT NULL), w AS (SELECT *, lag(pos) OVER x AS p, lead(pos) OVER x AS q, CASE WHEN lag(sym) OVER x IS NULL OR sym <> lag(sym) OVER x THEN 1 ELSE 0 END AS c FROM o WINDOW x AS (PARTITION BY seq ORDER BY t)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY seq ORDER BY t) AS run FROM w)
+SELECT seq AS ind, any_value(sym) AS state, min(coalesce((pos + p) / 2.0, pos))::DOUBLE AS "start", max(coalesce((pos + q) / 2.0, pos))::DOUBLE AS stop FROM r GROUP BY seq, run""")
+def ancestry_segments(spark, d):
+    o = observations(spark, d).where("sym is not null").withColumn("lg", F.lit("a"))
+    positions = o.select("lg", "t").distinct().withColumn("pos", (F.col("t") * F.col("t") % 17 + 20 * F.col("t")).cast("double"))
+    return S.contiguous(o.select(F.col("seq").alias("ind"), "lg", "t", F.col("sym").alias("state")), positions).drop("lg")
+
+
+@query(f"""WITH {RUNS}, s AS (SELECT 'u' || (seq % 7) AS lg, first * 1.5::DOUBLE AS b, max(sym) AS state FROM seg WHERE sym IS NOT NULL AND seq < 7 GROUP BY 1, 2),
+p AS (SELECT o_orderkey AS id, 'u' || (o_orderkey % 7) AS lg, (o_orderkey % 301)::DOUBLE AS place FROM orders)
+SELECT p.id, p.lg, p.place AS "at", s.state FROM p ASOF LEFT JOIN s ON p.lg = s.lg AND p.place >= s.b""")
+def ancestry_at_positions(spark, d):
+    seg = S.segments(observations(spark, d), "seq", "t", "sym").where("sym is not null and seq < 7")
+    seg = seg.groupBy(F.concat(F.lit("u"), F.col("seq") % 7).alias("lg"), (F.col("first") * 1.5).alias("start")).agg(F.max("sym").alias("state"))
+    k = F.col("o_orderkey")
+    return S.at_positions(seg, table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("u"), k % 7).alias("lg"), (k % 301).cast("double").alias("at")))
+
+
+@query(f"WITH {MAP} SELECT lg, marker, round(max(pos) OVER (PARTITION BY lg) - pos, 4) AS pos, row_number() OVER (PARTITION BY lg ORDER BY pos DESC, marker DESC)::INT AS nth FROM map")
+def reversed_map(spark, d):
+    return S.reversed_distances(marker_map(spark, d)).withColumn("pos", F.round("pos", 4))
+
+
+SCAN = f"{MAP}, scan AS (SELECT lg, marker, pos, ((marker * 13) % 400) / 100.0::DOUBLE AS lod FROM map)"
+
+
+@query(f"""WITH {SCAN}, w AS (SELECT *, (coalesce(lead(pos) OVER o, pos) - coalesce(lag(pos) OVER o, pos)) / 2 * pow(10.0, lod - max(lod) OVER (PARTITION BY lg)) AS m, row_number() OVER o AS nth FROM scan WINDOW o AS (PARTITION BY lg ORDER BY pos, marker)),
+c AS (SELECT *, sum(m) OVER (PARTITION BY lg ORDER BY pos, marker) / sum(m) OVER (PARTITION BY lg) AS cum FROM w)
+SELECT lg, arg_min(marker, (-lod, nth)) AS peak, round(max(lod), 4) AS lod, greatest(coalesce(max(nth) FILTER (cum < 0.125), 1), 1)::INT AS first, least(coalesce(min(nth) FILTER (cum > 0.875) + 1, max(nth)), max(nth))::INT AS last FROM c GROUP BY 1""")
+def scan_peaks(spark, d):
+    s = marker_map(spark, d).withColumn("lod", (F.col("marker") * 13) % 400 / 100)
+    return S.peaks(s, 0.75).withColumn("lod", F.round("lod", 4))
+
+
+SIM = "sim AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, ((a.s_suppkey * 31 + b.s_suppkey * 17) % 1009) / 1009.0::DOUBLE AS v FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND (a.s_suppkey + b.s_suppkey) % 3 = 0)"
+BOTH = f"{SIM}, both_ AS (SELECT a, b, v FROM sim UNION ALL SELECT b, a, v FROM sim), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS n FROM both_)"
+
+
+def _similar(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    a, b = s.select(F.col("k").alias("a"), (F.col("k") % 3).alias("r")), s.select(F.col("k").alias("b"), ((3 - F.col("k") % 3) % 3).alias("r"))
+    return a.join(b, "r").where("a < b").select("a", "b", ((F.col("a") * 31 + F.col("b") * 17) % 1009 / 1009).alias("v"))
+
+
+@query(f"WITH {BOTH} SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(v), 6) AS v FROM rk WHERE n <= 4 OR v >= 0.97 GROUP BY 1, 2")
+def nearest_pairs(spark, d):
+    return S.nearest(_similar(spark, d), 4, 0.97).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {BOTH} SELECT a AS marker, string_agg(b::VARCHAR, '||' ORDER BY n) AS neighbours FROM rk WHERE n <= 3 GROUP BY 1")
+def neighbours_to_save(spark, d):
+    return S.neighbour_lists(_similar(spark, d), 3)
+
+
+@query(f"""WITH {GENO}, p AS (SELECT marker, ind, unnest([1, 2, 3]) AS state, unnest([(n1 + 1) / (n1 + n2 + 6), (n2 + 1) / (n1 + n2 + 6), 4 / (n1 + n2 + 6)]) AS prob FROM geno),
+b AS (SELECT marker, ind, arg_min((state, prob), (-prob, state)) AS x FROM p GROUP BY 1, 2) SELECT marker, ind, CASE WHEN x[2] > 0.45 THEN x[1] END AS state, round(x[2], 6) AS prob FROM b""")
+def ancestry_calls(spark, d):
+    n = F.col("n1") + F.col("n2") + 6
+    p = geno(spark, d).select("marker", "ind", F.posexplode(F.array((F.col("n1") + 1) / n, (F.col("n2") + 1) / n, 4 / n)).alias("state", "prob")).withColumn("state", F.col("state") + 1)
+    return S.ancestry_call(p, ["marker", "ind"], 0.45).withColumn("prob", F.round("prob", 6))
+
+
+@query()
+def marker_bins(spark, d):
+    """A bin's start depends on the bin before it, which SQL can't say without recursion by row."""
+    m = marker_map(spark, d).withColumn("miss", (F.col("marker") % 11) / 11)
+    return S.bins(m, 2.0).withColumn("pos", F.round("pos", 4))
+
+
+@query("""WITH p AS (SELECT user_id AS ind, event_id AS t, ['0|1', '1|0', '0|0', '1|1'][event_id % 4 + 1] AS truth, CASE WHEN (event_id // 7) % 2 = 0 THEN ['0|1', '1|0', '0|0', '1|1'][event_id % 4 + 1] WHEN event_id % 13 = 0 THEN '0|0' ELSE reverse(['0|1', '1|0', '0|0', '1|1'][event_id % 4 + 1]) END AS est FROM events),
+h AS (SELECT ind, t, est = truth AS o FROM p WHERE truth IN ('0|1', '1|0') AND (est = truth OR est = reverse(truth))), s AS (SELECT ind, CASE WHEN o <> lag(o) OVER (PARTITION BY ind ORDER BY t) THEN 1 ELSE 0 END AS s FROM h)
+SELECT ind, count(*) AS sites, sum(s)::BIGINT AS switches FROM s GROUP BY 1""")
+def phase_switches(spark, d):
+    k = F.col("event_id")
+    truth = F.element_at(F.array(*map(F.lit, ("0|1", "1|0", "0|0", "1|1"))), (k % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("ind"), k.alias("t"), truth.alias("truth"))
+    est = F.when(F.floor(F.col("t") / 7) % 2 == 0, F.col("truth")).when(F.col("t") % 13 == 0, "0|0").otherwise(F.reverse("truth"))
+    return S.phase_switches(e.withColumn("est", est))
+
+
+@query(f"WITH {MAP} SELECT lg, round(max(pos) - min(pos), 4) AS cm, count(*) AS n FROM map GROUP BY 1")
+def map_lengths(spark, d):
+    return marker_map(spark, d).groupBy("lg").agg(F.round(S.span(F.col("pos")), 4).alias("cm"), F.count("*").alias("n"))
+
+
+@query(f"WITH {OBS}, m AS (SELECT seq, CASE WHEN sym <> lag(sym) OVER (PARTITION BY seq ORDER BY t) THEN 1 ELSE 0 END AS m FROM obs WHERE sym IS NOT NULL), c AS (SELECT seq, sum(m) AS n FROM m GROUP BY 1), x AS (SELECT seq, seq % 3 AS prior, 2 * sqrt(n + 0.375) AS z FROM c), q AS (SELECT prior, quantile_cont(z, 0.25) AS q1, quantile_cont(z, 0.75) AS q3 FROM x GROUP BY 1) SELECT seq, z > q3 + 0.5 * (q3 - q1) AS outlier FROM x JOIN q USING (prior)")
+def outlier_individuals(spark, d):
+    from loomgeno.operators.filters import anscombe, tukey
+
+    n = S.recombinations(observations(spark, d), "seq", "t", "sym").select("seq", (F.col("seq") % 3).alias("prior"), anscombe(F.col("n")).alias("z"))
+    return tukey(n, "prior", "z", 0.5).select("seq", "outlier")
