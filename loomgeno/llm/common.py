@@ -46,6 +46,12 @@ def drop_table(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Lets Arrow send Python at most this much text at once, so a worker's memory doesn't depend on text lengths. It holds
+    for the session, as plans read it when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def n_words(text: Column | str) -> Column:
     """Number of words as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

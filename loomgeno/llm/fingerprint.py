@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgeno.llm.common import materialize
+from loomgeno.llm.common import bounded_batches, materialize
 
 #: Least, usual and greatest chunk length in bytes.
 LEAST, USUAL, MOST = 12, 32, 160
@@ -148,6 +148,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Ranges of doc_id are cut at approximate quantiles, so each row's next one lies in the same range except at a range's
     end; there the next range's first row comes as a guest. Texts move once and stream through sorted partitions."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
     parts = min(most_ranges, max(1, -(-total // rows_per_range)))

@@ -23,10 +23,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgeno.llm.common import bounded_batches
+
 #: Documents a language that models are fitted on.
 MOST_DOCS = 3000
 #: Buckets of the trigram table, and words whose likelihoods a worker remembers.
@@ -145,6 +148,7 @@ class Predictor:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> Model:
     """Models of the languages in docs(id, text, lang). The driver gets the count tables: one a language, of fixed size."""
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     have = dict(map(tuple, known.groupBy("lang").count().collect()))
     if not have:
@@ -192,22 +196,19 @@ def _predictor(raw: bytes) -> Predictor:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, n_langs and fit_per_byte added (columns of these names are replaced)."""
-    new = ["lang_pred", "score", "n_langs", "fit_per_byte"]
-    rows = docs.drop(*new)
+    """docs with lang_pred, score, n_langs and fit_per_byte added (columns of these names are replaced). Only the text goes to
+    Python; the model is of fixed size for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    types = [pa.string(), pa.float64(), pa.int32(), pa.float64()]
+    bounded_batches(docs.sparkSession)
+    new = ["lang_pred", "score", "n_langs", "fit_per_byte"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double, n_langs int, fit_per_byte double")
+    def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = _predictor(shared.value)
-        for b in batches:
-            out = [p.predict(x.as_py()) for x in b.column(b.schema.get_field_index("__text"))]
-            cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)]
-            keep = [(n, c) for n, c in zip(b.schema.names, b.columns) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([c for _, c in keep] + cols, [n for n, _ in keep] + new)
+        for texts in parts:
+            yield pd.DataFrame([p.predict(x) for x in texts], columns=new)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, n_langs int, fit_per_byte double"
-    return rows.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
+    return docs.withColumn("__predicted", predicted(F.col(text_col))).drop(*new).select("*", "__predicted.*").drop("__predicted")
 
 
 def report(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:

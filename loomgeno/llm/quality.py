@@ -23,10 +23,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgeno.llm.common import bounded_batches
+
 MOST_LABELS, MOST_POOL = 12_000, 8_000
 ROUNDS, HANDED, SURE = 3, 400, 0.97
 #: Bins of each content feature, and hash buckets of the page's source and language.
@@ -169,6 +172,7 @@ def _columns(docs: DataFrame) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int = MOST_LABELS, most_pool: int = MOST_POOL, rounds: int = ROUNDS) -> Judge:
     """A judge from docs(doc_id, text, source, lang, n_chars) and labels(doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label_col)).cast("int").alias("y"))
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
     n_known, n_docs = known.count(), docs.count()
@@ -210,24 +214,20 @@ def _judge(raw: bytes) -> Judge:
 
 def score(docs: DataFrame, judge: Judge) -> DataFrame:
     """docs with score_text, score_page and quality_score added (columns of these names are replaced). The judge is of
-    fixed size."""
-    new = ["score_text", "score_page", "quality_score"]
-    rows, raw = docs.drop(*new), pickle.dumps(judge)
-    hidden = [c.alias(f"__q{i}") for i, c in enumerate(_columns(docs))]
+    fixed size. Only the four columns it needs go to Python, and three numbers come back."""
+    raw = pickle.dumps(judge)
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("score_text double, score_page double, quality_score double")
+    def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         j = _judge(raw)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = [b.column(b.schema.get_field_index(f"__q{i}")) for i in range(4)]
-            text = np.array([content(x.as_py()) for x in at[0]])
-            pages = np.array([page(*x) for x in zip(*(c.to_pylist() for c in at[1:]))])
-            keep = [(n, c) for n, c in zip(b.schema.names, b.columns) if not n.startswith("__q")]
-            yield pa.RecordBatch.from_arrays([c for _, c in keep] + [pa.array(s) for s in j.score(j.cells(text), pages)], [n for n, _ in keep] + new)
+        for texts, sources, langs, sizes in parts:
+            text = np.array([content(x) for x in texts]).reshape(len(texts), -1)
+            pages = np.array([page(s, g, None if pd.isna(n) else int(n)) for s, g, n in zip(sources, langs, sizes)])
+            yield pd.DataFrame(dict(zip(("score_text", "score_page", "quality_score"), j.score(j.cells(text), pages))))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score_text double, score_page double, quality_score double"
-    return rows.select("*", *hidden).mapInArrow(run, schema)
+    new = ["score_text", "score_page", "quality_score"]
+    return docs.withColumn("__judged", judged(*_columns(docs))).drop(*new).select("*", "__judged.*").drop("__judged")
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -239,6 +239,8 @@ def report(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs that the judge accepts."""
-    mine = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)] + [F.col(c) for c in ("text", "source", "lang", "n_chars")])
-    out = score(mine, fit(docs, labels)).where(F.col("quality_score") >= least)
-    return out.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    mine = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = {c: f"c{docs.columns.index(c)}" for c in ("text", "source", "lang", "n_chars")}
+    named = mine.withColumnsRenamed({v: k for k, v in at.items()})
+    out = score(named, fit(docs, labels)).where(F.col("quality_score") >= least)
+    return out.select([F.col(c if c in at else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgeno.llm.common import components, drop_table, join_unique, materialize
+from loomgeno.llm.common import bounded_batches, components, drop_table, join_unique, materialize
 
 #: Longest posting list whose pairs are formed directly.
 LONGEST = 256
@@ -62,6 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return ids.mapInArrow(_fingerprints, f"doc_id {dict(docs.dtypes)[id_col]}, fp long")
 
