@@ -113,8 +113,8 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: docs' own columns, each row as often as it is taken."""
     _, cuts, n = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    cuts = cuts.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("below").alias("__below"))
-    left = docs.withColumn("__source", F.col(source_col)).withColumn("__h", order_hash(id_col, text_col))
-    out = join_small(left, cuts, "__source", n)
-    times = F.col("__whole") + (F.col("__h") < F.col("__below")).cast("long")
-    return out.where(times > 0).withColumn("__i", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    cuts = cuts.select("source", "whole", "below")
+    mine = docs.select(F.col(source_col).alias("source"), order_hash(id_col, text_col).alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = join_small(mine, cuts, "source", n).withColumn("times", copies().cast("int")).where("times > 0")
+    out = out.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return out.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

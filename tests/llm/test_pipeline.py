@@ -7,6 +7,7 @@ import corpus_pipeline
 from loomgeno.llm import bpe
 from loomgeno.llm.common import materialize
 from loomgeno.llm.queries import vocabulary
+from tests.llm.helpers import odd_docs
 from tests.llm.test_bpe import brute as brute_tokens
 from tests.llm.test_simhash import brute_components
 
@@ -42,3 +43,14 @@ def test_stages_one_by_one(spark, sf):
         before = rows
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf).collect())) == Counter(before)
     assert bpe.transducer(vocabulary()).lookahead > 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_and_empty_documents(spark, sf, k):
+    df, (_, stage) = odd_docs(spark), corpus_pipeline.STAGES[k]
+    out = stage(spark, df, sf)
+    assert stage(spark, df.limit(0), sf).collect() == []
+    if k < 4:
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+    else:
+        assert out.count() == df.count()
