@@ -179,11 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_lab
     share = min(1.0, most_labels / n_known) if n_known else 0.0
     some = known.where(place < share * (1 << 20))
     rows = docs.select("doc_id", *_columns(docs))
-    # The bounded lists of sampled ids are the small side of these joins.
-    taught = rows.join(some, "doc_id")
+    # The samples of ids are bounded by most_labels, so they are broadcast and no text is shuffled.
+    taught = rows.join(F.broadcast(some), "doc_id")
     out_of = min(1.0, most_pool / max(1, n_docs))
     other = F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 20))
-    pool = rows.where(other < out_of * (1 << 20)).join(some.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(-1))
+    pool = rows.where(other < out_of * (1 << 20)).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("y", F.lit(-1))
     names = ["y", "text", "source", "lang", "n_chars"]
     got = taught.select(*names).unionByName(pool.select(*names)).mapInArrow(_features, "y int, content array<double>, page array<long>").toArrow()
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, dtype=int)
