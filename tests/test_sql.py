@@ -41,4 +41,5 @@ def test_same_as_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, sf, name):
     df = registry.queries()[name](spark, sf)
-    assert len(df.collect()) > 0
+    # The smallest tables have no duplicates; test_kernels has some.
+    assert len(df.collect()) > 0 or name == "duplicate_bins"
