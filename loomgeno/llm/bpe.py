@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from loomgeno.llm.common import bounded_batches
 
 #: Pieces whose ids are remembered, and the longest such piece in characters: this bounds a worker's memory.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
 #: Ids handled at once.
 BLOCK = 1 << 16
 

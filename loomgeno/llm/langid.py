@@ -33,7 +33,7 @@ from loomgeno.llm.common import bounded_batches
 #: Documents a language that models are fitted on.
 MOST_DOCS = 3000
 #: Buckets of the trigram table, and words whose likelihoods a worker remembers.
-BUCKETS, REMEMBERED = 1 << 17, 200_000
+BUCKETS, REMEMBERED = 1 << 17, 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
