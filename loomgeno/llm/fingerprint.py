@@ -165,5 +165,5 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     guests = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"]))
     guests = guests.groupBy("hg").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), F.col("text").alias("text"))).alias("t"), F.first("to").alias("to"), F.first("doc_id").alias("doc_id"))
     both = placed.select("g", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select(F.col("to").alias("g"), "doc_id", "t.text", F.lit(True).alias("guest")))
-    ordered = both.repartition(parts, "g").sortWithinPartitions("g", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    ordered = both.repartitionById(len(cuts) + 2, F.col("g")).sortWithinPartitions("g", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return ordered.select("g", "doc_id", "text", "guest").mapInArrow(_edit_pass, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
