@@ -5,9 +5,11 @@ consecutive outputs compared: what a prefix adds to the one before is its last t
 the one before it, the template rewrites history, and `rewrites` counts those turns. Within a span, the turn's content is
 found as what differs from the rendering of the same turn with a marked text.
 
-Prefixes are rendered whole up to `whole` turns; beyond that a turn is rendered after the first turn and the `context` turns
-before it, so a conversation of n turns takes n renderings of bounded length, and rows stream through one sorted partition
-with bounded memory, however many turns a conversation has.
+Prefixes are rendered whole, so a conversation takes time and a worker's memory as its template's renderings do: n turns
+are rendered twice n times, and all are kept. A template declared context_free() puts out each turn by that turn alone,
+which makes a whole prefix needless to see what a turn adds: beyond `whole` turns, one is rendered after the first turn and
+the `context` turns before it. Renderings are then of bounded length, and rows stream through one sorted partition with bounded
+memory, however many turns a conversation has. The registered query's template is declared so.
 
 The template here puts <|im_start|>role, a newline, the text and <|im_end|> with a newline. Inside roles and texts, any <
 that backslashes and then | follow gets one more backslash; in roles backslash and newline are escaped too. Both are undone
@@ -51,6 +53,14 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def context_free(template: Template) -> Template:
+    """Declares that a template's output is its turns' own texts in order, each made from that turn alone, not from other
+    turns, their number or its place."""
+    template.context_free = True
+    return template
+
+
+@context_free
 def chatml(turns: list[Turn]) -> str:
     """The template of the registered query."""
     return "".join([f"{START}{escape_role(r)}\n{escape(t)}{END}\n" for r, t in turns])
@@ -80,7 +90,7 @@ class Span:
 
 @dataclass
 class Renderer:
-    """Renders turn after turn through a black-box template."""
+    """Renders turn after turn through a black-box template; `whole` and `context` only hold for one declared context_free()."""
 
     template: Template
     whole: int = 64
@@ -89,7 +99,7 @@ class Renderer:
     before: str = ""
 
     def add(self, turn: Turn) -> Span:
-        if len(self.seen) > self.whole:
+        if len(self.seen) > self.whole and getattr(self.template, "context_free", False):
             # Beyond the whole prefixes: the first turn and the last few.
             self.seen = [self.seen[0], *self.seen[-self.context :]]
             self.before = self.template(self.seen)

@@ -57,3 +57,35 @@ def test_templates_that_rewrite_history():
     assert [s.rewrites for s in chat.spans(turns, strip)] == [False, False, True]
     upper = lambda ts: "".join(f"[{t}]" for _, t in ts)
     assert [s.added[slice(*s.content)] for s in chat.spans(turns, upper)] == ["one", "two", "three"]
+
+
+def brute_spans(turns, template):
+    """(added, rewrites) of every turn from renderings of all whole prefixes."""
+    texts = ["", *(template(turns[: n + 1]) for n in range(len(turns)))]
+    cut = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return [(b[cut(a, b) :], not b.startswith(a)) for a, b in zip(texts, texts[1:])]
+
+
+LONG = [(["user", "assistant"][i % 2], f"turn {i}") for i in range(150)]
+LONG_TEMPLATES = {
+    "numbered": lambda ts: "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(ts)),
+    "counting": lambda ts: f"{len(ts)} turns\n" + chat.chatml(ts),
+    "keeps five": lambda ts: "".join(f"[{r}:{t if i >= len(ts) - 5 else '...'}]" for i, (r, t) in enumerate(ts)),
+    "rewrites once": lambda ts: ("short\n" if len(ts) <= 100 else "long\n") + chat.chatml(ts),
+    "marks the tenth": lambda ts: "".join(f"[{t}{'!' if i == 10 and len(ts) % 40 == 0 else ''}]" for i, (_, t) in enumerate(ts)),
+    "chatml": chat.chatml,
+}
+
+
+@pytest.mark.parametrize("kind", LONG_TEMPLATES)
+def test_whole_prefixes_of_long_conversations(kind):
+    spans = list(chat.spans(LONG, LONG_TEMPLATES[kind]))
+    assert [(s.added, s.rewrites) for s in spans] == brute_spans(LONG, LONG_TEMPLATES[kind])
+    assert all(s.added[slice(*s.content)] == t for s, (_, t) in zip(spans, LONG) if s.content)
+
+
+def test_formatted_with_a_template_that_sees_earlier_turns(spark):
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(LONG)], COLS)
+    for kind in ("numbered", "counting", "rewrites once"):
+        rows = chat.formatted(df, LONG_TEMPLATES[kind]).orderBy("nth").collect()
+        assert [(r.formatted, r.rewrites) for r in rows] == brute_spans(LONG, LONG_TEMPLATES[kind])
