@@ -128,7 +128,7 @@ def ld_contingency(spark, d):
 @query()
 def ld_lod(spark, d):
     """Chi-square tails have no SQL form."""
-    return pairs.g_to_lod(pairs.contingency_g(geno(spark, d), band=20)).withColumn("lod", r("lod", 5))
+    return pairs.g_to_lod(pairs.contingency_g(geno(spark, d))).withColumn("lod", r("lod", 5))
 
 
 @query(f"""WITH {GENO}, {PAIRS}, n AS (SELECT marker, count(*) AS seen FROM seen GROUP BY 1), p AS (SELECT m1, m2, count(*) AS n, count(*) FILTER (g1 <> g2) AS differ FROM pairs GROUP BY 1, 2)
