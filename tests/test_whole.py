@@ -1,6 +1,7 @@
 """Queries without SQL take in all that their operators should."""
 
 from loomgeno.plans import registry
+from loomgeno.plans.views import INDIVIDUALS, geno
 
 
 def test_ld_lod_has_every_pair_of_ld_contingency(spark, sf):
@@ -8,3 +9,19 @@ def test_ld_lod_has_every_pair_of_ld_contingency(spark, sf):
     lods = {(r.m1, r.m2): (round(r.g, 5), r.df) for r in q["ld_lod"](spark, sf).collect()}
     assert lods == {(r.m1, r.m2): (r.g, r.df) for r in q["ld_contingency"](spark, sf).collect()}
     assert max(b - a for a, b in lods) > 20
+
+
+def test_founder_matching_of_every_individual(spark, sf):
+    rows = [tuple(r) for r in registry.queries()["founder_matching"](spark, sf).collect()]
+    calls = {}
+    for g in geno(spark, sf).where("gt in ('11', '22')").collect():
+        calls.setdefault(g.ind, {})[g.marker] = g.gt
+    assert len(calls) > 6
+    differ = lambda a, b: sum(calls[a][m] != calls[b][m] for m in calls[a] if m in calls[b])
+    free, want = set(calls), []
+    for e, back in sorted(((i + 2) % INDIVIDUALS, i) for i in calls):
+        # Those that share no marker come last.
+        t = min(free, key=lambda t: (not set(calls[back]) & set(calls[t]), differ(back, t), t))
+        free.remove(t)
+        want.append((e, t, differ(back, t)))
+    assert rows == want
