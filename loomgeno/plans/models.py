@@ -10,7 +10,7 @@ from loomgeno.functions import genotype as G
 from loomgeno.functions import prior
 from loomgeno.operators import graph, hmm, impute, maps, pairs, scan
 from loomgeno.plans.registry import query
-from loomgeno.plans.views import GENO, OBS, PHENO, geno, observations, phenotype, table
+from loomgeno.plans.views import GENO, GROUPS, OBS, PHENO, geno, observations, phenotype, table
 
 INIT, RATE, EMIT = np.array([0.5, 0.5]), np.array([[-1.0, 1.0], [1.0, -1.0]]), np.array([[0.9, 0.1], [0.2, 0.8]])
 
@@ -69,7 +69,7 @@ def scan_ancestry(spark, d):
 @query()
 def scan_threshold(spark, d):
     g = geno(spark, d).where("gt in ('11', '12', '22')").select("marker", "ind", G.dose(F.col("gt")).alias("x"))
-    return spark.createDataFrame([(float(scan.permutation_threshold(g, phenotype(spark, d), 20)),)], "threshold double")
+    return spark.createDataFrame([(float(scan.permutation_threshold(g, phenotype(spark, d), 200)),)], "threshold double")
 
 
 @query()
@@ -77,28 +77,42 @@ def call_depths(spark, d):
     return impute.call(geno(spark, d).select("marker", "ind", "n1", "n2"))
 
 
-DESIGN, POSITIONS = "4ril-self3", [float(5 * i) for i in range(20)]
+DESIGN = "4ril-self3"
 
 
-def _population(spark):
-    return impute.simulate(spark, DESIGN, 60, POSITIONS, err=0.005, missing=0.1)
+def _chromosomes(spark, d):
+    """Every supplier is a marker, of the linkage group and place it has in nearest_markers."""
+    k = F.col("s_suppkey")
+    out = {}
+    for r in table(spark, d, "supplier").select((k % GROUPS).alias("lg"), ((k * 53) % 5000 / F.lit(10.0)).alias("pos"), k.alias("marker")).orderBy("lg", "pos", "marker").collect():
+        markers, positions = out.setdefault(r.lg, ([], []))
+        markers.append(r.marker)
+        positions.append(r.pos)
+    return out
+
+
+def _population(spark, d):
+    """Every customer is an individual."""
+    chromosomes = _chromosomes(spark, d)
+    keys = table(spark, d, "customer").select(F.explode(F.array(*[F.lit(lg).cast("long") for lg in chromosomes])).alias("lg"), F.col("c_custkey").cast("long").alias("ind"))
+    return impute.simulate_over(keys, chromosomes, DESIGN, err=0.005, missing=0.1), impute.founder_tables(DESIGN, chromosomes)
 
 
 @query()
 def simulated_population(spark, d):
     """Random by seed."""
-    return _population(spark)
+    return _population(spark, d)[0]
 
 
 @query()
 def impute_offspring(spark, d):
-    return impute.offspring(_population(spark), impute.founder_table(DESIGN, len(POSITIONS)), 2.5)
+    return impute.offspring(*_population(spark, d), 2.5)
 
 
 @query()
 def linkage_pairs(spark, d):
-    g = _population(spark).select("marker", "ind", "gt")
-    return maps.linkage(g, impute.founder_table(DESIGN, len(POSITIONS)), band=4)
+    g, founders = _population(spark, d)
+    return maps.linkage(g.select("marker", "ind", "gt"), founders)
 
 
 @query()

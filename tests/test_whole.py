@@ -1,7 +1,11 @@
 """Queries without SQL take in all that their operators should."""
 
+from pyspark.sql import functions as F
+
+from loomgeno.functions import genotype as G
+from loomgeno.operators import impute, scan
 from loomgeno.plans import registry
-from loomgeno.plans.views import INDIVIDUALS, geno
+from loomgeno.plans.views import INDIVIDUALS, geno, phenotype, table
 
 
 def test_ld_lod_has_every_pair_of_ld_contingency(spark, sf):
@@ -25,3 +29,34 @@ def test_founder_matching_of_every_individual(spark, sf):
         free.remove(t)
         want.append((e, t, differ(back, t)))
     assert rows == want
+
+
+def test_population_is_made_of_whole_tables(spark, sf):
+    q = registry.queries()
+    markers = {r[0] for r in table(spark, sf, "supplier").select("s_suppkey").collect()}
+    individuals = {r[0] for r in table(spark, sf, "customer").select("c_custkey").collect()}
+    cells = {(m, i) for m in markers for i in individuals}
+    pop = q["simulated_population"](spark, sf).collect()
+    assert len(pop) == len(cells) and {(r.marker, r.ind) for r in pop} == cells
+    assert len({r.lg for r in pop}) > 1
+    imputed = q["impute_offspring"](spark, sf).collect()
+    assert len(imputed) == len(cells) and {(r.marker, r.ind) for r in imputed} == cells
+    pairs = {(r.m1, r.m2) for r in q["linkage_pairs"](spark, sf).collect()}
+    assert pairs == {(a, b) for a in markers for b in markers if a < b}
+
+
+def test_groups_with_their_own_markers(spark):
+    chromosomes = {0: ([5, 3, 9], [0.0, 2.0, 4.0]), 2: ([4, 8, 1, 7], [0.0, 1.0, 2.0, 2.0])}
+    keys = spark.createDataFrame([(lg, i) for lg in chromosomes for i in range(40)], "lg long, ind long")
+    pop = impute.simulate_over(keys, chromosomes, "2ril-self4", missing=0.2)
+    founders = impute.founder_tables("2ril-self4", chromosomes)
+    rows = pop.collect()
+    assert all({r.true[0], r.true[1]} == {founders[r.marker][r.o1], founders[r.marker][r.o2]} for r in rows)
+    imputed = {(r.marker, r.ind): r.gt for r in impute.offspring(pop, founders, 2.5).collect()}
+    assert len(imputed) == len(rows) == 40 * 7
+    assert sum(imputed[r.marker, r.ind] == r.true for r in rows) > 0.9 * len(rows)
+
+
+def test_threshold_of_200_permutations(spark, sf):
+    g = geno(spark, sf).where("gt in ('11', '12', '22')").select("marker", "ind", G.dose(F.col("gt")).alias("x"))
+    assert registry.queries()["scan_threshold"](spark, sf).first()[0] == scan.permutation_threshold(g, phenotype(spark, sf), 200)
