@@ -27,17 +27,28 @@ def reset_map(geno: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def neighbours(points: DataFrame, markers: DataFrame) -> DataFrame:
-    """points(lg, id, at), markers(lg, marker, pos): nearest marker at or left of each point, and strictly right of it.
-
-    Both are sorted once by group and position and filled from either side: n log n, with no range join. A group is
-    cut into ranges of its own by sorting; Spark spills a large one."""
-    m = markers.select("lg", F.col("pos").alias("at"), F.lit(0).alias("kind"), F.struct("pos", "marker").alias("m"), F.lit(None).cast(points.schema["id"].dataType).alias("id"))
+    """points(lg, id, at), markers(lg, marker, pos): nearest marker at or left of each point, and strictly right of it. Of markers
+    at one place, the last is left of what follows and the first right of what comes before.
+
+    Both are sorted once into ranges of (group, position), so a group may fill any number of tasks, and filled from either side by
+    running windows over a range; what a range lacks comes from the last marker before it or the first one after it, which are
+    carried along as one row a range."""
+    kind, place = points.schema["id"].dataType, points.schema["at"].dataType
+    m = markers.select("lg", F.col("pos").cast(place).alias("at"), F.lit(0).alias("kind"), F.struct("pos", "marker").alias("m"), F.lit(None).cast(kind).alias("id"))
     p = points.select("lg", "at", F.lit(1).alias("kind"), F.lit(None).cast(m.schema["m"].dataType).alias("m"), "id")
-    w = Window.partitionBy("lg").orderBy("at", "kind", "m", "id")
-    both = m.unionByName(p)
-    left = F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return both.withColumn("l", left).withColumn("r", right).where("kind = 1").select("lg", "id", "at", F.col("l.marker").alias("left"), F.col("r.marker").alias("right"))
+    order = ["lg", "at", "kind", "m", "id"]
+    both = checkpoint(m.unionByName(p).repartitionByRange(*[F.col(c) for c in order]).withColumn("r", F.spark_partition_id()))
+    w = Window.partitionBy("r", "lg").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.last("m", ignorenulls=True).over(w.orderBy(*order[1:]))
+    right = F.last("m", ignorenulls=True).over(w.orderBy(*[F.desc(c) for c in order[1:]]))
+    filled = both.withColumn("l", left).withColumn("g", right).where("kind = 1")
+    # One row for each range and group: what lies before and after it. At most a row a task and a row a group.
+    ends = both.groupBy("r", "lg").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    e = Window.partitionBy("lg").rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.last("hi", ignorenulls=True).over(e.orderBy("r")), F.last("lo", ignorenulls=True).over(e.orderBy(F.desc("r")))
+    ends = ends.select(F.col("r").alias("er"), F.col("lg").alias("elg"), before.alias("before"), after.alias("after"))
+    out = filled.join(ends, (F.col("r") == F.col("er")) & F.col("lg").eqNullSafe(F.col("elg")))
+    return out.select("lg", "id", "at", F.coalesce("l", "before")["marker"].alias("left"), F.coalesce("g", "after")["marker"].alias("right"))
 
 
 def match_groups(a: DataFrame, b: DataFrame, least_share: float = 0.1, least_shared: int = 5) -> DataFrame:

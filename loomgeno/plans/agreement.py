@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgeno.operators import accuracy
 from loomgeno.plans.registry import query
-from loomgeno.plans.views import GENO, INDIVIDUALS, MAP, PED, geno, marker_map, pedigree, table
+from loomgeno.plans.views import GENO, MAP, PED, geno, marker_map, pedigree, table
 from loomgeno.sources import pedigrees
 
 
@@ -33,7 +33,7 @@ def ancestry_accuracy(spark, d):
 def founder_matching(spark, d):
     """Greedy by order; SQL can't carry which founders are taken."""
     g = geno(spark, d).where("gt in ('11', '22')").select("marker", F.col("ind").alias("founder"), F.col("gt").alias("allele"))
-    rows = accuracy.match_founders(g, g.withColumn("founder", (F.col("founder") + 2) % INDIVIDUALS))
+    rows = accuracy.match_founders(g, g.withColumn("founder", F.col("founder") * 7 % 1009))
     return spark.createDataFrame([(int(e), int(t), int(n)) for e, t, n in rows], "estimated long, matched long, mismatches long")
 
 

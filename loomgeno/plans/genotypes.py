@@ -35,9 +35,9 @@ def individual_missing(spark, d):
     return filters.individual_missing(geno(spark, d), 0.03).withColumn("fmiss", r("fmiss"))
 
 
-@query(f"WITH {GENO} SELECT marker, ind, pop FROM geno WHERE ind % 7 <> 3 AND pop IN (SELECT pop FROM geno WHERE ind % 7 <> 3 GROUP BY 1 HAVING count(DISTINCT ind) >= 11)")
+@query(f"WITH {GENO}, g AS (SELECT marker, ind, floor(sqrt(ind))::BIGINT AS pop FROM geno) SELECT marker, ind, pop FROM g WHERE pop IN (SELECT pop FROM g GROUP BY 1 HAVING count(DISTINCT ind) >= 5)")
 def subpop_filter(spark, d):
-    return filters.subpop_sizes(geno(spark, d).where("ind % 7 <> 3"), 11).select("marker", "ind", "pop")
+    return filters.subpop_sizes(geno(spark, d).withColumn("pop", F.floor(F.sqrt("ind"))), 5).select("marker", "ind", "pop")
 
 
 @query(f"""WITH {GENO} SELECT marker, ind, round(CASE gt WHEN '11' THEN 1 WHEN '1N' THEN 1.5 WHEN '12' THEN 2 WHEN '2N' THEN 2.5 WHEN '22' THEN 3 END::DOUBLE, 2) AS dose,
@@ -90,10 +90,10 @@ def monomorphic_test(spark, d):
     return filters.monomorphic(geno(spark, d), 4, min_test=4, least_maf=0.25, sure=0.6)
 
 
-@query(f"""WITH {GENO}, w AS (SELECT marker, pop AS founder, CASE WHEN gt IN ('11', '1N') THEN 1 WHEN gt IN ('22', '2N') THEN 2 END AS allele FROM geno WHERE ind < 10 AND gt IN ('11', '22', '1N', '2N'))
+@query(f"""WITH {GENO}, w AS (SELECT marker, pop AS founder, CASE WHEN gt IN ('11', '1N') THEN 1 WHEN gt IN ('22', '2N') THEN 2 END AS allele FROM geno WHERE gt IN ('11', '22', '1N', '2N'))
 SELECT marker, founder, CASE WHEN min(allele) = max(allele) THEN min(allele) END AS allele, min(allele) <> max(allele) AS inconsistent FROM w GROUP BY 1, 2""")
 def founder_conflicts(spark, d):
-    g = geno(spark, d).where("ind < 10 and gt in ('11', '22', '1N', '2N')")
+    g = geno(spark, d).where("gt in ('11', '22', '1N', '2N')")
     return filters.conflicts(g.select("marker", F.col("pop").alias("founder"), F.when(F.col("gt").isin("11", "1N"), 1).otherwise(2).alias("allele")))
 
 
@@ -108,37 +108,44 @@ def genotype_frequencies(spark, d):
 PAIRS = "seen AS (SELECT marker, ind, gt, CASE gt WHEN '11' THEN 1 WHEN '12' THEN 2 ELSE 3 END AS dose FROM geno WHERE gt IN ('11', '12', '22')), pairs AS (SELECT a.marker AS m1, b.marker AS m2, a.ind, a.gt AS g1, b.gt AS g2, a.dose AS d1, b.dose AS d2 FROM seen a JOIN seen b ON a.ind = b.ind AND a.marker < b.marker)"
 
 
-@query(f"""WITH {GENO}, {PAIRS}, s AS (SELECT m1, m2, count(*) AS n, sum(d1) AS sx, sum(d2) AS sy, sum(d1 * d1) AS sxx, sum(d2 * d2) AS syy, sum(d1 * d2) AS sxy FROM pairs GROUP BY 1, 2),
+#: Least r2 and G that tables of pairs keep.
+LEAST_R2, LEAST_G, LEAST_LOD = 0.5, 12.0, 2.0
+
+
+@query(f"""WITH {GENO}, {PAIRS}, s AS (SELECT m1, m2, count(*) AS n, sum(d1)::BIGINT AS sx, sum(d2)::BIGINT AS sy, sum(d1 * d1)::BIGINT AS sxx, sum(d2 * d2)::BIGINT AS syy, sum(d1 * d2)::BIGINT AS sxy FROM pairs GROUP BY 1, 2),
 v AS (SELECT *, (n * sxy - sx * sy)::DOUBLE AS cov, (n * sxx - sx * sx)::DOUBLE AS vx, (n * syy - sy * sy)::DOUBLE AS vy FROM s)
-SELECT m1, m2, n, round(CASE WHEN vx > 0 AND vy > 0 THEN cov * cov / (vx * vy) END, 6) AS r2 FROM v""")
+SELECT m1, m2, n, round(cov * cov / (vx * vy), 6) AS r2 FROM v WHERE vx > 0 AND vy > 0 AND cov * cov / (vx * vy) >= {LEAST_R2}""")
 def ld_r2(spark, d):
-    return pairs.ld_r2(geno(spark, d)).withColumn("r2", r("r2"))
+    return pairs.ld_r2(geno(spark, d), least=LEAST_R2).withColumn("r2", r("r2"))
 
 
-@query(f"""WITH {GENO}, {PAIRS}, cells AS (SELECT m1, m2, g1, g2, count(*) AS c FROM pairs GROUP BY ALL),
+CELLS = f"""{GENO}, {PAIRS}, cells AS (SELECT m1, m2, g1, g2, count(*) AS c FROM pairs GROUP BY ALL),
 t AS (SELECT *, sum(c) OVER (PARTITION BY m1, m2) AS n, sum(c) OVER (PARTITION BY m1, m2, g1) AS r FROM cells),
 k1 AS (SELECT *, least(greatest(1.0, 0.005 * n), 5.0) AS few FROM t), k2 AS (SELECT *, sum(c) OVER (PARTITION BY m1, m2, g2) AS k FROM k1 WHERE r > few),
 k3 AS (SELECT m1, m2, g1, g2, c FROM k2 WHERE k > few),
-w AS (SELECT *, sum(c) OVER (PARTITION BY m1, m2) AS n, sum(c) OVER (PARTITION BY m1, m2, g1) AS r, sum(c) OVER (PARTITION BY m1, m2, g2) AS k FROM k3)
-SELECT m1, m2, round(2 * sum(c * ln(c * n / (r * k))) + 0.0, 5) AS g, (count(DISTINCT g1) - 1) * (count(DISTINCT g2) - 1) AS df FROM w GROUP BY 1, 2""")
+w AS (SELECT *, sum(c) OVER (PARTITION BY m1, m2) AS n, sum(c) OVER (PARTITION BY m1, m2, g1) AS r, sum(c) OVER (PARTITION BY m1, m2, g2) AS k FROM k3),
+gs AS (SELECT m1, m2, 2 * sum(c * ln(c * n / (r * k))) + 0.0 AS g, (count(DISTINCT g1) - 1) * (count(DISTINCT g2) - 1) AS df FROM w GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CELLS} SELECT m1, m2, round(g, 5) AS g, df FROM gs WHERE g + 1e-9 >= {LEAST_G}")
 def ld_contingency(spark, d):
-    return pairs.contingency_g(geno(spark, d)).select("m1", "m2", r(F.col("g") + 0.0, 5).alias("g"), "df")
+    return pairs.contingency_g(geno(spark, d), least=LEAST_G).select("m1", "m2", r(F.col("g"), 5).alias("g"), "df")
 
 
 @query()
 def ld_lod(spark, d):
-    """Chi-square tails have no SQL form."""
-    return pairs.g_to_lod(pairs.contingency_g(geno(spark, d))).withColumn("lod", r("lod", 5))
+    """The table of linkage disequilibrium; chi-square tails have no SQL form."""
+    return pairs.ld_lod(geno(spark, d), LEAST_LOD).withColumn("lod", r("lod", 5)).select("m1", "m2", r("r2").alias("r2"), r("g", 5).alias("g"), "df", "lod")
 
 
 @query(f"""WITH {GENO}, {PAIRS}, n AS (SELECT marker, count(*) AS seen FROM seen GROUP BY 1), p AS (SELECT m1, m2, count(*) AS n, count(*) FILTER (g1 <> g2) AS differ FROM pairs GROUP BY 1, 2)
-SELECT m1, m2, p.n, differ FROM p JOIN n a ON m1 = a.marker JOIN n b ON m2 = b.marker WHERE p.n >= 20 AND p.n >= 0.9 * greatest(a.seen, b.seen)""")
+SELECT m1, m2, p.n, differ FROM p JOIN n a ON m1 = a.marker JOIN n b ON m2 = b.marker WHERE p.n >= 8 AND p.n >= 0.3 * greatest(a.seen, b.seen) AND differ <= 0.2 * p.n""")
 def duplicate_markers(spark, d):
-    return pairs.duplicate_markers(geno(spark, d))
+    return pairs.duplicate_markers(geno(spark, d), 8, 0.3, most_differ=0.2)
 
 
 CORR = f"""{GENO}, s0 AS (SELECT marker, ind, CASE gt WHEN '11' THEN 1 WHEN '12' THEN 2 ELSE 3 END AS dose FROM geno WHERE gt IN ('11', '12', '22')),
-s AS (SELECT a.ind AS i1, b.ind AS i2, count(*) AS n, sum(a.dose) AS sx, sum(b.dose) AS sy, sum(a.dose * a.dose) AS sxx, sum(b.dose * b.dose) AS syy, sum(a.dose * b.dose) AS sxy FROM s0 a JOIN s0 b ON a.marker = b.marker AND a.ind < b.ind GROUP BY 1, 2),
+s AS (SELECT a.ind AS i1, b.ind AS i2, count(*) AS n, sum(a.dose)::BIGINT AS sx, sum(b.dose)::BIGINT AS sy, sum(a.dose * a.dose)::BIGINT AS sxx, sum(b.dose * b.dose)::BIGINT AS syy, sum(a.dose * b.dose)::BIGINT AS sxy FROM s0 a JOIN s0 b ON a.marker = b.marker AND a.ind < b.ind GROUP BY 1, 2),
 corr AS (SELECT i1, i2, n, CASE WHEN n * sxx > sx * sx AND n * syy > sy * sy THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx)::DOUBLE * (n * syy - sy * sy)::DOUBLE) END AS r FROM s)"""
 
 
@@ -148,9 +155,9 @@ def individual_correlation(spark, d):
 
 
 @query(f"""WITH {CORR}, n AS (SELECT ind, count(*) AS seen FROM geno WHERE gt <> 'NN' GROUP BY 1)
-SELECT DISTINCT CASE WHEN a.seen <= b.seen THEN i1 ELSE i2 END AS ind FROM corr JOIN n a ON i1 = a.ind JOIN n b ON i2 = b.ind WHERE r > 0.6""")
+SELECT DISTINCT CASE WHEN a.seen <= b.seen THEN i1 ELSE i2 END AS ind FROM corr JOIN n a ON i1 = a.ind JOIN n b ON i2 = b.ind WHERE r > 0.3""")
 def duplicate_individuals(spark, d):
-    return pairs.duplicate_individuals(geno(spark, d), 0.6)
+    return pairs.duplicate_individuals(geno(spark, d), 0.3)
 
 
 @query()

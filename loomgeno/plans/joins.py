@@ -123,22 +123,22 @@ def order_agreement(spark, d):
     return joins.order_agreement(m, m.withColumn("pos", F.round(F.col("pos") * 7 % 311, 3) + F.col("marker") / 1000000)).withColumn("tau", F.round("tau", 6))
 
 
-@query("""WITH p AS (SELECT c_custkey AS ind, unnest([c_custkey % 10, c_custkey * 3 % 41 + 10]) AS founder FROM customer WHERE c_custkey <= 100),
-f1 AS (SELECT * FROM p WHERE ind NOT IN (SELECT ind FROM p WHERE founder IN (SELECT founder FROM p GROUP BY 1 HAVING count(DISTINCT ind) < 3))),
-f2 AS (SELECT * FROM f1 WHERE ind NOT IN (SELECT ind FROM f1 WHERE founder IN (SELECT founder FROM f1 GROUP BY 1 HAVING count(DISTINCT ind) < 3))),
-f3 AS (SELECT * FROM f2 WHERE ind NOT IN (SELECT ind FROM f2 WHERE founder IN (SELECT founder FROM f2 GROUP BY 1 HAVING count(DISTINCT ind) < 3))),
-f4 AS (SELECT * FROM f3 WHERE ind NOT IN (SELECT ind FROM f3 WHERE founder IN (SELECT founder FROM f3 GROUP BY 1 HAVING count(DISTINCT ind) < 3))),
-f5 AS (SELECT * FROM f4 WHERE ind NOT IN (SELECT ind FROM f4 WHERE founder IN (SELECT founder FROM f4 GROUP BY 1 HAVING count(DISTINCT ind) < 3)))
-SELECT ind, founder FROM f5""")
+_ROUND = "f{k} AS (SELECT * FROM f{j} WHERE ind NOT IN (SELECT ind FROM f{j} WHERE founder IN (SELECT founder FROM f{j} GROUP BY 1 HAVING count(DISTINCT ind) < 3)))"
+ROUNDS = 12
+
+
+@query(f"""WITH f0 AS (SELECT c_custkey AS ind, unnest([c_custkey // 4, (c_custkey * 7 % 1001) // 5 + 1000000]) AS founder FROM customer), {", ".join(_ROUND.format(k=k + 1, j=k) for k in range(ROUNDS))}
+SELECT ind, founder FROM f{ROUNDS}""")
 def founder_progeny(spark, d):
+    """SQL has a fixed number of rounds, enough for the smaller tables."""
     k = F.col("c_custkey")
-    p = table(spark, d, "customer").where("c_custkey <= 100").select(k.alias("ind"), F.explode(F.array(k % 10, k * 3 % 41 + 10)).alias("founder"))
+    p = table(spark, d, "customer").select(k.alias("ind"), F.explode(F.array(F.floor(k / 4), F.floor((k * 7 % 1001) / 5) + 1000000)).alias("founder"))
     return filters.founder_progeny(p, 3)
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 10 < 4), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey // 10 * 10 + (3 * (c_custkey % 10) + 1) % 10 AS b FROM customer), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON r.id = s.a)
 SELECT id, min(root) AS root FROM r GROUP BY 1""")
 def connected_founders(spark, d):
     k = F.col("c_custkey")
-    return graph.components(table(spark, d, "customer").where("c_custkey % 10 < 4").select(k.alias("a"), (k + 7).alias("b")))
+    return graph.components(table(spark, d, "customer").select(k.alias("a"), (F.floor(k / 10) * 10 + (3 * (k % 10) + 1) % 10).alias("b")))

@@ -95,7 +95,7 @@ def _population(spark, d):
     """Every customer is an individual."""
     chromosomes = _chromosomes(spark, d)
     keys = table(spark, d, "customer").select(F.explode(F.array(*[F.lit(lg).cast("long") for lg in chromosomes])).alias("lg"), F.col("c_custkey").cast("long").alias("ind"))
-    return impute.simulate_over(keys, chromosomes, DESIGN, err=0.005, missing=0.1), impute.founder_tables(DESIGN, chromosomes)
+    return impute.simulate_over(keys, chromosomes, DESIGN, err=0.005, missing=0.1), impute.founder_rows(spark, DESIGN, chromosomes)
 
 
 @query()
@@ -126,7 +126,7 @@ def linkage_map(spark, d):
 @query()
 def duplicate_bins(spark, d):
     g = geno(spark, d)
-    dup = pairs.duplicate_markers(g, share=0.8).where("differ <= 0.02 * n").select(F.col("m1").alias("a"), F.col("m2").alias("b"))
+    dup = pairs.duplicate_markers(g, 8, 0.3, most_differ=0.1).select(F.col("m1").alias("a"), F.col("m2").alias("b"))
     miss = g.groupBy(F.col("marker").alias("id")).agg(F.avg((F.col("gt") == "NN").cast("double")).alias("miss"))
     return graph.duplicate_bins(spark, dup, miss)
 
@@ -139,8 +139,8 @@ def pedigree_identity(spark, d):
     return spark.createDataFrame([(m, float(i.inbreeding(m)), float(i.expansion(m, 0)), float(i.expansion(m, 1))) for m, _, _ in ped], "member string, inbreeding double, junctions_m double, junctions_p double")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT label % 5 AS a, vec_id % 40 + 100 AS b FROM embeddings), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM s),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT label AS a, vec_id + 1000000 AS b FROM embeddings), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM s),
 r(id, root) AS (SELECT id, id FROM n UNION SELECT s.b, r.root FROM r JOIN s ON r.id = s.a) SELECT id::BIGINT AS id, min(root)::BIGINT AS root FROM r GROUP BY 1""")
 def marker_components(spark, d):
-    e = table(spark, d, "embeddings").select((F.col("label") % 5).cast("long").alias("a"), (F.col("vec_id") % 40 + 100).alias("b"))
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("a"), (F.col("vec_id") + 1000000).alias("b"))
     return graph.components(e)

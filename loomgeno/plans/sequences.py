@@ -52,14 +52,14 @@ def ancestry_segments(spark, d):
     return S.contiguous(o.select(F.col("seq").alias("ind"), "lg", "t", F.col("sym").alias("state")), positions).drop("lg")
 
 
-@query(f"""WITH {RUNS}, s AS (SELECT 'u' || (seq % 7) AS lg, first * 1.5::DOUBLE AS b, max(sym) AS state FROM seg WHERE sym IS NOT NULL AND seq < 7 GROUP BY 1, 2),
-p AS (SELECT o_orderkey AS id, 'u' || (o_orderkey % 7) AS lg, (o_orderkey % 301)::DOUBLE AS place FROM orders)
+@query(f"""WITH {RUNS}, s AS (SELECT 'u' || seq AS lg, first * 1.5::DOUBLE AS b, sym AS state FROM seg WHERE sym IS NOT NULL),
+p AS (SELECT o_orderkey AS id, 'u' || o_custkey AS lg, (o_orderkey % 151)::DOUBLE AS place FROM orders)
 SELECT p.id, p.lg, p.place AS "at", s.state FROM p ASOF LEFT JOIN s ON p.lg = s.lg AND p.place >= s.b""")
 def ancestry_at_positions(spark, d):
-    seg = S.segments(observations(spark, d), "seq", "t", "sym").where("sym is not null and seq < 7")
-    seg = seg.groupBy(F.concat(F.lit("u"), F.col("seq") % 7).alias("lg"), (F.col("first") * 1.5).alias("start")).agg(F.max("sym").alias("state"))
+    seg = S.segments(observations(spark, d), "seq", "t", "sym").where("sym is not null")
+    seg = seg.select(F.concat(F.lit("u"), F.col("seq")).alias("lg"), (F.col("first") * 1.5).alias("start"), F.col("sym").alias("state"))
     k = F.col("o_orderkey")
-    return S.at_positions(seg, table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("u"), k % 7).alias("lg"), (k % 301).cast("double").alias("at")))
+    return S.at_positions(seg, table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("u"), F.col("o_custkey")).alias("lg"), (k % 151).cast("double").alias("at")))
 
 
 @query(f"WITH {MAP} SELECT lg, marker, round(max(pos) OVER (PARTITION BY lg) - pos, 4) AS pos, row_number() OVER (PARTITION BY lg ORDER BY pos DESC, marker DESC)::INT AS nth FROM map")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Markers, individuals, subpopulations and linkage groups of the views.
-MARKERS, INDIVIDUALS, POPS, GROUPS = 120, 60, 5, 4
+#: Subpopulations and linkage groups of the views. Markers are parts and individuals suppliers, so both grow with the tables.
+POPS, GROUPS = 5, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def geno(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(marker, ind, pop, k, gt, n1, n2): one row a marker and individual, of its least line item."""
+    """(marker, ind, pop, k, gt, n1, n2): one row for each part and supplier that share a line item."""
     li = table(spark, sf_dir, "lineitem")
-    key = (F.col("l_partkey") % MARKERS).alias("marker"), (F.col("l_orderkey") % INDIVIDUALS).alias("ind")
+    key = F.col("l_partkey").alias("marker"), F.col("l_suppkey").alias("ind")
     one = li.groupBy(*key).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seed"), F.sum(F.col("l_quantity").cast("long")).alias("q"))
     # A shared factor of the individual makes neighbouring markers agree more often than chance.
     k = ((F.col("ind") * 7 + F.floor(F.col("marker") / 10) * 3) % 6 + F.when(F.col("seed") % 4 == 0, F.col("seed") % 7).otherwise(0)).cast("long") % 11
@@ -24,7 +24,7 @@ def geno(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("k", k).select("marker", "ind", (F.col("ind") % POPS).alias("pop"), "k", gt.alias("gt"), (F.col("q") % 13).alias("n1"), (F.col("seed") % 9).alias("n2"))
 
 
-GENO = f"""one AS (SELECT l_partkey % {MARKERS} AS marker, l_orderkey % {INDIVIDUALS} AS ind, min(l_orderkey * 8 + l_linenumber) AS seed, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q FROM lineitem GROUP BY ALL),
+GENO = f"""one AS (SELECT l_partkey AS marker, l_suppkey AS ind, min(l_orderkey * 8 + l_linenumber) AS seed, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q FROM lineitem GROUP BY ALL),
 geno0 AS (SELECT *, ((ind * 7 + (marker // 10) * 3) % 6 + CASE WHEN seed % 4 = 0 THEN seed % 7 ELSE 0 END) % 11 AS k FROM one),
 geno AS (SELECT marker, ind, ind % {POPS} AS pop, k, CASE WHEN k <= 2 THEN '11' WHEN k <= 5 THEN '22' WHEN k <= 7 THEN '12' WHEN k = 8 THEN '1N' WHEN k = 9 THEN '2N' ELSE 'NN' END AS gt, q % 13 AS n1, seed % 9 AS n2 FROM geno0)"""
 
@@ -39,13 +39,14 @@ MAP = f"""map AS (SELECT p_partkey AS marker, 'lg' || (p_partkey % {GROUPS}) AS
 
 
 def pedigree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(member, mother, father): parents by integer division; members up to 4 are founders with parents 0."""
+    """(member, mother, father): parents by integer division; members up to 4 are founders with parents 0. Members count
+    from 1, as 0 is nobody."""
     c = table(spark, sf_dir, "customer")
-    m = F.col("c_custkey")
+    m = F.col("c_custkey") + 1
     return c.select(m.alias("member"), F.when(m <= 4, 0).otherwise(F.floor(m / 2)).cast("long").alias("mother"), F.when(m <= 4, 0).otherwise(F.floor(m / 3)).cast("long").alias("father"))
 
 
-PED = """ped AS (SELECT c_custkey AS member, CASE WHEN c_custkey <= 4 THEN 0 ELSE c_custkey // 2 END AS mother, CASE WHEN c_custkey <= 4 THEN 0 ELSE c_custkey // 3 END AS father FROM customer)"""
+PED = """ped AS (SELECT c_custkey + 1 AS member, CASE WHEN c_custkey < 4 THEN 0 ELSE (c_custkey + 1) // 2 END AS mother, CASE WHEN c_custkey < 4 THEN 0 ELSE (c_custkey + 1) // 3 END AS father FROM customer)"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,9 @@ OBS = """obs AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id
 
 
 def phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ind, y, pop): mean order price by individual."""
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy((F.col("o_orderkey") % INDIVIDUALS).alias("ind")).agg((F.sum(F.floor("o_totalprice").cast("long")) / F.count("*") / 1000).alias("y")).withColumn("pop", F.col("ind") % POPS)
+    """(ind, y, pop): mean price of a supplier's line items."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("ind")).agg((F.sum(F.floor("l_extendedprice").cast("long")) / F.count("*") / 1000).alias("y")).withColumn("pop", F.col("ind") % POPS)
 
 
-PHENO = f"""pheno AS (SELECT o_orderkey % {INDIVIDUALS} AS ind, sum(CAST(floor(o_totalprice) AS BIGINT))::DOUBLE / count(*) / 1000 AS y, o_orderkey % {INDIVIDUALS} % {POPS} AS pop FROM orders GROUP BY ALL)"""
+PHENO = f"""pheno AS (SELECT l_suppkey AS ind, sum(CAST(floor(l_extendedprice) AS BIGINT))::DOUBLE / count(*) / 1000 AS y, l_suppkey % {POPS} AS pop FROM lineitem GROUP BY ALL)"""

@@ -23,7 +23,8 @@ def plain(rows, columns):
 
 @pytest.fixture(scope="module")
 def duck(sf):
-    con = duckdb.connect()
+    # A query that runs away fails by itself rather than with the whole suite.
+    con = duckdb.connect(config={"memory_limit": "3GB", "threads": 4, "max_temp_directory_size": "4GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con

@@ -3,16 +3,29 @@
 from pyspark.sql import functions as F
 
 from loomgeno.functions import genotype as G
-from loomgeno.operators import impute, scan
+from loomgeno.functions import special
+from loomgeno.operators import impute, pairs, scan
 from loomgeno.plans import registry
-from loomgeno.plans.views import INDIVIDUALS, geno, phenotype, table
+from loomgeno.plans.views import geno, phenotype, table
 
 
-def test_ld_lod_has_every_pair_of_ld_contingency(spark, sf):
-    q = registry.queries()
-    lods = {(r.m1, r.m2): (round(r.g, 5), r.df) for r in q["ld_lod"](spark, sf).collect()}
-    assert lods == {(r.m1, r.m2): (r.g, r.df) for r in q["ld_contingency"](spark, sf).collect()}
-    assert max(b - a for a, b in lods) > 20
+def test_ld_lod_keeps_what_ld_contingency_finds(spark, sf):
+    g = geno(spark, sf)
+    lods = {(r.m1, r.m2): r for r in pairs.ld_lod(g).collect()}
+    want = {(r.m1, r.m2): (round(r.g, 5), r.df) for r in pairs.contingency_g(g).collect() if r.df > 0}
+    assert {k: (round(r.g, 5), r.df) for k, r in lods.items()} == want
+    assert max(b - a for a, b in lods) > 100
+    assert all(abs(r.lod - special.equivalent_lod(r.g, r.df)) < 1e-5 for r in lods.values())
+    few = {(r.m1, r.m2) for r in pairs.ld_lod(g, 1.0, 0.3).collect()}
+    assert few == {k for k, r in lods.items() if r.lod >= 1 and r.r2 >= 0.3} and few
+
+
+def test_blocks_of_markers_change_nothing(spark, sf):
+    g = geno(spark, sf).where("marker < 60")
+    plain = lambda df: sorted(map(tuple, df.withColumn("r2", F.round("r2", 9)).collect()), key=str)
+    whole = plain(pairs.ld_r2(g))
+    assert plain(pairs.ld_r2(g, block=7)) == whole and len(whole) > 1000
+    assert plain(pairs.ld_r2(g, band=5, block=7)) == [r for r in whole if r[1] - r[0] <= 5]
 
 
 def test_founder_matching_of_every_individual(spark, sf):
@@ -23,7 +36,7 @@ def test_founder_matching_of_every_individual(spark, sf):
     assert len(calls) > 6
     differ = lambda a, b: sum(calls[a][m] != calls[b][m] for m in calls[a] if m in calls[b])
     free, want = set(calls), []
-    for e, back in sorted(((i + 2) % INDIVIDUALS, i) for i in calls):
+    for e, back in sorted((i * 7 % 1009, i) for i in calls):
         # Those that share no marker come last.
         t = min(free, key=lambda t: (not set(calls[back]) & set(calls[t]), differ(back, t), t))
         free.remove(t)
@@ -52,7 +65,7 @@ def test_groups_with_their_own_markers(spark):
     founders = impute.founder_tables("2ril-self4", chromosomes)
     rows = pop.collect()
     assert all({r.true[0], r.true[1]} == {founders[r.marker][r.o1], founders[r.marker][r.o2]} for r in rows)
-    imputed = {(r.marker, r.ind): r.gt for r in impute.offspring(pop, founders, 2.5).collect()}
+    imputed = {(r.marker, r.ind): r.gt for r in impute.offspring(pop, impute.founder_rows(spark, "2ril-self4", chromosomes), 2.5).collect()}
     assert len(imputed) == len(rows) == 40 * 7
     assert sum(imputed[r.marker, r.ind] == r.true for r in rows) > 0.9 * len(rows)
 
