@@ -7,7 +7,7 @@ state is one window however long the piece is. Decoding feeds token bytes to an
 
 Defined cases: null is the empty text, which has no ids; the strings of added tokens inside a text become those tokens;
 bytes that aren't UTF-8, which only foreign ids can produce, decode to U+FFFD; rows aren't compared or joined, so
-repeated rows, null ids and columns of other names pass as they are.
+repeated rows, null ids and columns of other names pass as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -209,25 +209,42 @@ class Transducer:
 
     def _piece(self, piece: str) -> bytes:
         """Little-endian ids of one piece."""
-        raw = piece.encode()
-        if len(raw) <= self.window:
-            return array("I", self._merge(raw)).tobytes()
-        return np.fromiter(self.stream([raw]), dtype="<u4").tobytes()
+        return array("I", self.stream((piece.encode(),))).tobytes()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Text without added tokens, an added token, and so on; one part at a time."""
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            yield text[at : m.start()]
+            yield m[0]
+            at = m.end()
+        yield text[at:] if at else text
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Little-endian 32-bit ids of a whole text, in blocks."""
         known = self.known.__getitem__
-        for k, part in enumerate(self.split.split(text) if self.split else [text]):
+        for k, part in enumerate(self.parts(text)):
             if k % 2:
                 yield self.added[part].to_bytes(4, "little")
             elif part:
                 pattern = pattern_for(part)
-                if len(part) <= 16 * BLOCK:
+                if len(part) <= BLOCK:
                     yield b"".join(map(known, pattern.findall(part)))
                     continue
-                found = pattern.finditer(part)
-                while block := list(islice(found, BLOCK)):
-                    yield b"".join([known(m[0]) for m in block])
+                held: list[bytes] = []
+                for m in pattern.finditer(part):
+                    if len(m[0]) <= self.window:
+                        held.append(known(m[0]))
+                        if len(held) < BLOCK:
+                            continue
+                    yield b"".join(held)
+                    held.clear()
+                    if len(m[0]) > self.window:
+                        # A long piece is read and emitted block by block.
+                        piece = self.stream(m[0][i : i + BLOCK].encode() for i in range(0, len(m[0]), BLOCK))
+                        while block := array("I", islice(piece, BLOCK)):
+                            yield block.tobytes()
+                yield b"".join(held)
 
     def ids(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode(text)), dtype="<u4").tolist()
@@ -251,13 +268,18 @@ def _digests(path: str):
         for b in batches:
             n, ids, texts = [], [], []
             for x in b.column(1):
-                blocks = list(t.encode(x.as_py() or ""))
-                h, g, count = hashlib.sha256(), hashlib.sha256(), 0
-                for raw in blocks:
-                    h.update(raw)
-                    count += len(raw) // 4
-                arrays = (np.frombuffer(r[i : i + 4 * BLOCK], dtype="<u4") for r in blocks for i in range(0, len(r), 4 * BLOCK))
-                for s in t.decode(arrays):
+                h, g = hashlib.sha256(), hashlib.sha256()
+                count = 0
+
+                # Each block of ids is digested and decoded as it comes; none is kept.
+                def blocks(text: str) -> Iterator[np.ndarray]:
+                    nonlocal count
+                    for raw in t.encode(text):
+                        h.update(raw)
+                        count += len(raw) // 4
+                        yield np.frombuffer(raw, dtype="<u4")
+
+                for s in t.decode(blocks(x.as_py() or "")):
                     g.update(s.encode())
                 n.append(count)
                 ids.append(h.hexdigest())

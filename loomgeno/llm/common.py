@@ -91,10 +91,30 @@ def join_small(left: DataFrame, right: DataFrame, key: str, rows: int, bound: in
     if rows <= bound:
         return left.join(F.broadcast(r), left[key].eqNullSafe(r["__key"]), "left").drop("__key")
     r = r.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = left.withColumn("__salt", (F.rand(7) * salts).cast("int"))
+    # A row's salt is its hash, so a task that runs again deals its rows out as before.
+    plain = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), *plain), F.lit(salts)).cast("int"))
     return salted.join(r, salted[key].eqNullSafe(r["__key"]) & (F.col("__salt") == F.col("__s")), "left").drop("__key", "__s", "__salt")
 
 
+def ordinals(rows: DataFrame, keys: list[str], name: str = "ordinal", uid: str = "__uid") -> DataFrame:
+    """Adds a 0-based number among the rows with equal keys (null equals null). rows is a written table with `uid`, the
+    monotonically increasing ids of its tasks: rows are numbered within a task's share of a key, then shares are added up, so no
+    key's rows meet in one task. Rows of equal keys are numbered in no order that matters."""
+    rows = rows.withColumn("__p", F.shiftright(uid, 33))
+    share = [*keys, "__p"]
+    sizes = rows.groupBy(*share).agg(F.count("*").alias("__n"))
+    # At most one row a task for each key.
+    sizes = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("__o > 0").drop("__n")
+    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*share).orderBy(uid)).cast("long") - 1)
+    r = sizes.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(share)})
+    same = F.lit(True)
+    for i, k in enumerate(share):
+        same = same & numbered[k].eqNullSafe(r[f"__r{i}"])
+    out = numbered.join(r, same, "left").withColumn(name, F.col(name) + F.coalesce("__o", F.lit(0)))
+    return out.drop("__p", "__o", *[f"__r{i}" for i in range(len(share))])
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds a gapless 0-based rank in the given order without a one-task window: range partitions, then offsets."""
     part = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "rank")

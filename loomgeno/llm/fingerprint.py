@@ -6,8 +6,9 @@ text of 14 hex digits each (12 of digest, 2 of length), so it is shift-resistant
 The likeness of A to B is containment: the share of A's chunk bytes that are in B.
 
 Defined cases: null is the empty text; an empty text has the empty fingerprint, which is wholly like another empty one
-and unlike all others; equal texts have equal fingerprints; rows with the same doc_id follow in order of their texts,
-null ids come last; a single row's next document is itself; an empty table gives an empty result.
+and unlike all others; equal texts have equal fingerprints; rows with the same doc_id follow in order of their texts (one with
+more rows than a range holds: in order of hashes of the texts first), null ids come last; a single row's next document is itself;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from loomgeno.llm.common import bounded_batches, materialize
 LEAST, USUAL, MOST = 12, 32, 160
 #: A candidate has these bits zero; a strict one all of STRICT.
 EASY, STRICT = 0x0F00, 0x7F00
+#: An id or text is hot if more than one row in HOT_SHARE has it.
+HOT_SHARE = 512
 #: Bytes hashed at once.
 BLOCK = 1 << 22
 GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(1024), dtype="<u4").astype(np.uint32)
@@ -143,27 +146,50 @@ def _place(cuts: list[int]):
     return place
 
 
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000, most_ranges: int = 20_000) -> DataFrame:
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4000, most_ranges: int = 20_000, hot_share: int = HOT_SHARE) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Ids are integers.
 
     Ranges of doc_id are cut at approximate quantiles, so each row's next one lies in the same range except at a range's
-    end; there the next range's first row comes as a guest. Texts move once and stream through sorted partitions."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    end; there the next range's first row comes as a guest. Texts move once and stream through sorted partitions, so a range
+    needs no memory of its own. An id with more than one row in hot_share (a null one, say) is a range by itself, cut further by
+    the hash of its texts, and a text of such an id with as many rows is dealt out in turn, its rows being alike."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
     parts = min(most_ranges, max(1, -(-total // rows_per_range)))
+    # Fewer than hot_share ids, and texts of them, are hot.
+    hot = [(r.doc_id, r["count"]) for r in rows.groupBy("doc_id").count().where((F.col("count") * hot_share > total) & (F.col("count") > rows_per_range)).collect()] if parts > 1 else []
     cuts = []
     if known and parts > 1:
         shares = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0]))
-    # Range 0 holds the greatest ids. At most `most_ranges` cuts go to the workers.
-    placed = rows.withColumn("g", _place(cuts)(F.col("doc_id")))
+        cuts = set(rows.agg(F.percentile_approx("doc_id", shares, 10 * parts)).first()[0])
+        # A range holds the ids above one cut up to the next.
+        cuts = sorted(cuts | {c for i, _ in hot if i is not None for c in (i - 1, i)})
+    pieces = lambda n: max(1, -(-n // rows_per_range))
+    by_id = spark.createDataFrame([(i, pieces(n)) for i, n in hot], "hi long, k long")
+    wide = rows.join(F.broadcast(by_id), F.col("doc_id").eqNullSafe(F.col("hi")), "left").drop("hi") if hot else rows.withColumn("k", F.lit(None).cast("long"))
+    alike = wide.where("k is not null").groupBy("doc_id", "h").count().where((F.col("count") * hot_share > total) & (F.col("count") > rows_per_range)) if hot else None
+    same = [(r.doc_id, r.h, pieces(r["count"])) for r in alike.collect()] if hot else []
+    if same:
+        by_text = spark.createDataFrame(same, "hi long, hh long, turns long")
+        wide = wide.join(F.broadcast(by_text), F.col("doc_id").eqNullSafe(F.col("hi")) & (F.col("h") == F.col("hh")), "left").drop("hi", "hh")
+    else:
+        wide = wide.withColumn("turns", F.lit(None).cast("long"))
+    # Rows of one id are in order of these two, then of their texts.
+    part = F.coalesce(F.floor((F.shiftright("h", 24) + F.lit(1 << 39)) * F.col("k") / F.lit(float(1 << 40))), F.lit(0)).cast("long")
+    turn = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("turns")), F.lit(0)).cast("long")
+    g = F.shiftleft(_place(cuts)(F.col("doc_id")).cast("long"), 40) + F.shiftleft(part, 20) + turn
+    # Range 0 holds the greatest ids. At most `most_ranges` cuts, and those of hot ids, go to the workers.
+    placed = wide.select(g.alias("g"), "doc_id", "text")
     # The first row of each range: one id a range, and of rows that share it the least text. The windows hold a row a range.
     heads = placed.groupBy("g").agg(F.max("doc_id").alias("head"))
     one = Window.partitionBy(F.lit(0))
     heads = materialize(heads.select(F.col("g").alias("hg"), "head", F.coalesce(F.lag("g").over(one.orderBy("g")), F.max("g").over(one)).alias("to")), "heads")
-    guests = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["head"]))
+    guests = placed.join(F.broadcast(heads), (F.col("g") == F.col("hg")) & F.col("doc_id").eqNullSafe(F.col("head")))
     guests = guests.groupBy("hg").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), F.col("text").alias("text"))).alias("t"), F.first("to").alias("to"), F.first("doc_id").alias("doc_id"))
     both = placed.select("g", "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests.select(F.col("to").alias("g"), "doc_id", "t.text", F.lit(True).alias("guest")))
-    ordered = both.repartitionById(len(cuts) + 2, F.col("g")).sortWithinPartitions("g", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    # A range a partition; the parts of hot ids lie over the others in turn.
+    spot = F.pmod(F.shiftright("g", 40) + F.shiftright("g", 20).bitwiseAND(F.lit((1 << 20) - 1)) + F.col("g").bitwiseAND(F.lit((1 << 20) - 1)), F.lit(len(cuts) + 2)).cast("int")
+    ordered = both.repartitionById(len(cuts) + 2, spot).sortWithinPartitions("g", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
     return ordered.select("g", "doc_id", "text", "guest").mapInArrow(_edit_pass, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -2,7 +2,7 @@
 
 Each language has a trigram model of its words' bytes, backed off to bigrams and bytes. A document is a mixture: every
 distinct word has a likelihood in every language, and EM estimates the proportions. The set of languages is then chosen
-by penalised likelihood among the nested sets in order of proportion, and the most frequent language of the set is
+by penalised likelihood among all the nested sets in order of proportion, and the most frequent language of the set is
 predicted.
 
 Models are fitted on at most `most_docs` labelled documents a language (about that many, by hash), which are counted
@@ -87,8 +87,8 @@ class Model:
 
 
 class Predictor:
-    def __init__(self, model: Model, rounds: int = 10, penalty: float = 3.0):
-        self.model, self.rounds, self.penalty = model, rounds, penalty
+    def __init__(self, model: Model, most_rounds: int = 500, penalty: float = 3.0, tol: float = 1e-4):
+        self.model, self.most_rounds, self.penalty, self.tol = model, most_rounds, penalty, tol
         self.known: dict[str, int] = {}
         self.rows = np.empty((0, len(model.langs)))
 
@@ -109,17 +109,21 @@ class Predictor:
         return self.rows[[known[w] for w in words]]
 
     def mixture(self, e: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions by EM, and the log likelihood under them. e: relative likelihoods, c: counts."""
-        pi, n = np.full(e.shape[1], 1 / e.shape[1]), c.sum()
-        for _ in range(self.rounds):
-            pi = pi * ((c / (e @ pi)) @ e) / n
+        """Proportions by EM, until none moves by more than `tol`, and the log likelihood under them. e: relative likelihoods,
+        c: counts."""
+        pi, share = np.full(e.shape[1], 1 / e.shape[1]), c / c.sum()
+        for _ in range(self.most_rounds):
+            new = pi * ((share / (e @ pi)) @ e)
+            moved, pi = np.abs(new - pi).max(), new
+            if moved < self.tol:
+                break
         return pi, float(c @ np.log(e @ pi))
 
-    def predict(self, text: str | None) -> tuple[str, float, int, float]:
-        """(language, its proportion, number of languages, log likelihood a byte)."""
+    def predict(self, text: str | None) -> tuple[str, float, int, float, str]:
+        """(language, its proportion, number of languages, log likelihood a byte, proportions of the set's languages)."""
         found = words_of(text or "")
         if not found or not self.model.langs:
-            return "und", 0.0, 0, 0.0
+            return "und", 0.0, 0, 0.0, ""
         words = list(found)
         c = np.fromiter(found.values(), dtype=np.float64, count=len(words))
         ll = self._likelihoods(words)
@@ -131,19 +135,20 @@ class Predictor:
         pi, _ = self.mixture(e, c)
         order = np.argsort(-pi, kind="stable")
         price = self.penalty * math.log(c.sum() + 1)
-        # The nested sets; a set can't gain more than all that its likelihood lacks.
-        best, gain = 1, float(c @ rel[:, order[0]])
-        value, shares = gain, None
+        # All nested sets, until the price of one is more than any set can gain: no likelihood exceeds 0 here.
+        best, value, shares = 1, float(c @ rel[:, order[0]]), None
         for k in range(2, len(order) + 1):
-            if best < k - 1 or value >= -price * (k - 1):
+            if value - price * (best - 1) >= -price * (k - 1):
                 break
             s, now = self.mixture(e[:, order[:k]], c)
             if now - price * (k - 1) > value - price * (best - 1):
                 best, value, shares = k, now, s
         if shares is None:
-            return self.model.langs[order[0]], float(min(1.0, pi[order[0]])), 1, (base + value) / each
+            lang = self.model.langs[order[0]]
+            return lang, float(min(1.0, pi[order[0]])), 1, (base + value) / each, f"{lang}:1.000"
         at = int(np.argmax(shares))
-        return self.model.langs[order[at]], float(min(1.0, shares[at])), best, (base + value) / each
+        named = "|".join(f"{self.model.langs[order[k]]}:{shares[k]:.3f}" for k in np.argsort(-shares, kind="stable"))
+        return self.model.langs[order[at]], float(min(1.0, shares[at])), best, (base + value) / each, named
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> Model:
@@ -196,13 +201,14 @@ def _predictor(raw: bytes) -> Predictor:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, n_langs and fit_per_byte added (columns of these names are replaced). Only the text goes to
+    """docs with lang_pred, score, n_langs, fit_per_byte and mixture added (columns of these names are replaced); mixture holds the
+    proportions of the chosen languages, as `en:0.700|fr:0.300`. Only the text goes to
     Python; the model is of fixed size for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     bounded_batches(docs.sparkSession)
-    new = ["lang_pred", "score", "n_langs", "fit_per_byte"]
+    new = ["lang_pred", "score", "n_langs", "fit_per_byte", "mixture"]
 
-    @F.pandas_udf("lang_pred string, score double, n_langs int, fit_per_byte double")
+    @F.pandas_udf("lang_pred string, score double, n_langs int, fit_per_byte double, mixture string")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         p = _predictor(shared.value)
         for texts in parts:
@@ -212,11 +218,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def report(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, n_langs) for every document; models learn from those not held out."""
+    """(doc_id, held_out, lang_pred, score, n_langs, mixture) for every document; models learn from those not held out."""
     rows = docs.select("doc_id", "text", "lang")
     model = fit(rows.where(~held_out(F.col("doc_id"))), most_docs=most_docs)
     out = predict(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score", "n_langs")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "n_langs", "mixture")
 
 
 def identified(docs: DataFrame, least_share: float = 0.35, least_fit: float = -math.log(256)) -> DataFrame:

@@ -1,15 +1,16 @@
 """Quality classification by co-training of two views.
 
 One view sees only a text's content (shape of words, lines and symbols, repetition), the other only what is known of its page
-(source, language, recorded length). Both start from the labelled rows; in each round, each view labels the unlabelled rows of
-a pool it is surest of, by calibrated probability, and hands them to the other. Each view is calibrated on labelled rows kept
+(source, language, recorded length). Both start from the labelled rows; in each round, each view labels the unlabelled rows
+it is surest of among all, by calibrated probability, and hands them to the other. Each view is calibrated on labelled rows kept
 apart, the calibrated log odds are combined by a small regression, and all documents are scored over their whole texts.
 
-Fitting uses at most about `most_labels` labelled rows and a pool of `most_pool` unlabelled ones, chosen by hash, as the
-method has it; scoring covers every row.
+Fitting uses at most about `most_labels` labelled rows, chosen by hash; what a view hands over is chosen among every unlabelled
+row, and scoring covers every row.
 
 Defined cases: null text counts as empty; null source, language or length are values of their own; a document labelled
-more than once takes its least label; with no labels, or labels of one class, every document scores 1 and stays; labels
+more than once takes its least label, and an id with several rows teaches by the least of them; a score of just `least` is accepted;
+rows of which a view is equally sure are handed over in order of their features; with no labels, or labels of one class, every document scores 1 and stays; labels
 without a document teach nothing; an empty table gives an empty result.
 """
 
@@ -19,7 +20,7 @@ import math
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgeno.llm.common import bounded_batches
+from loomgeno.llm.common import bounded_batches, drop_table, materialize
 
-MOST_LABELS, MOST_POOL = 12_000, 8_000
+MOST_LABELS = 12_000
 ROUNDS, HANDED, SURE = 3, 400, 0.97
 #: Bins of each content feature, and hash buckets of the page's source and language.
 BINS, SOURCES, LANGS = 10, 64, 16
@@ -110,6 +111,10 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+#: Feature values, page cells and labels of rows that a view hands over.
+Chosen = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Judge:
     """Both views and their combination."""
 
@@ -121,26 +126,21 @@ class Judge:
     def cells(self, features: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, features[:, k], side="right") + k * (BINS + 1) for k, e in enumerate(self.edges)], axis=1)
 
-    def train(self, text: np.ndarray, page_: np.ndarray, y: np.ndarray, apart: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray) -> None:
-        """apart: rows kept for calibration."""
+    def train(self, text: np.ndarray, page_: np.ndarray, y: np.ndarray, apart: np.ndarray, choose: Callable[[Judge, int], list[Chosen]]) -> None:
+        """Rounds of co-training. text: feature values, page_: cells; apart: rows kept for calibration. After each round but the last,
+        choose() gives the unlabelled rows that either view is surest of, to be handed to the other."""
         own, out = ~apart, apart
-        handed = {0: (np.zeros(0, dtype=int), np.zeros(0)), 1: (np.zeros(0, dtype=int), np.zeros(0))}
-        views, data, pool = (self.text, self.page), (text, page_), (pool_text, pool_page)
+        views, data = (self.text, self.page), (self.cells(text), page_)
+        handed = [(np.zeros((0, text.shape[1])), np.zeros((0, page_.shape[1]), dtype=int), np.zeros(0))] * 2
         for r in range(self.rounds + 1):
             for k, v in enumerate(views):
-                at, label = handed[k]
-                v.fit(np.concatenate([data[k][own], pool[k][at]]), np.concatenate([y[own], label]), np.concatenate([np.ones(own.sum()), np.full(len(at), 0.5)]))
+                features, pages, label = handed[1 - k]
+                more = self.cells(features) if k == 0 else pages
+                v.fit(np.concatenate([data[k][own], more]), np.concatenate([y[own], label]), np.concatenate([np.ones(own.sum()), np.full(len(label), 0.5)]))
                 v.calibrate(data[k][out], y[out])
-            if r == self.rounds:
-                break
-            for k, v in enumerate(views):
-                odds = v.odds(pool[k])
-                sure = math.log(SURE / (1 - SURE))
-                # As many of each class as their share among the labelled, the surest first.
-                good = [i for i in np.argsort(-odds, kind="stable")[: round(HANDED * (r + 1) * y.mean())] if odds[i] >= sure]
-                bad = [i for i in np.argsort(odds, kind="stable")[: round(HANDED * (r + 1) * (1 - y.mean()))] if odds[i] <= -sure]
-                handed[1 - k] = np.array(good + bad, dtype=int), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
-        odds = np.column_stack([self.text.odds(text[out]), self.page.odds(page_[out])])
+            if r < self.rounds:
+                handed = choose(self, r)
+        odds = np.column_stack([v.odds(d[out]) for v, d in zip(views, data)])
         self.mix = logistic(odds, y[out])
         if (bad := np.flatnonzero(self.mix[1:] < 0)).size:
             # A view that speaks against itself once the other is known has no say.
@@ -150,11 +150,18 @@ class Judge:
             self.mix[[0, *(k + 1 for k in rest)]] = w
         self.fitted = True
 
+    def wanted(self, r: int, share: float) -> tuple[int, int]:
+        """How many good and bad rows a view hands over after round r: as many of each as their share among the labelled."""
+        return round(HANDED * (r + 1) * share), round(HANDED * (r + 1) * (1 - share))
+
+    def both_odds(self, text: np.ndarray, page_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.text.odds(self.cells(text)), self.page.odds(page_)
+
     def score(self, text: np.ndarray, page_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.fitted:
             one = np.ones(len(text))
             return one, one, one
-        a, b = self.text.odds(text), self.page.odds(page_)
+        a, b = self.both_odds(text, page_)
         p = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return p(a), p(b), p(self.mix[0] + self.mix[1] * a + self.mix[2] * b)
 
@@ -170,43 +177,87 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("text").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int = MOST_LABELS, most_pool: int = MOST_POOL, rounds: int = ROUNDS) -> Judge:
-    """A judge from docs(doc_id, text, source, lang, n_chars) and labels(doc_id, quality)."""
+def _surest(raw: bytes, good: int, bad: int):
+    """Of a task's rows (content, page): the surest good and bad ones by each view."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, best = pickle.loads(raw), {}
+        sure = math.log(SURE / (1 - SURE))
+        for b in batches:
+            text, pages = _arrays(b.column(0), b.column(1))
+            for view, odds in enumerate(judge.both_odds(text, pages) if len(text) else ()):
+                for sign, most in ((1, good), (-1, bad)):
+                    at = np.flatnonzero(sign * odds >= sure)
+                    new = np.column_stack([-sign * odds[at], text[at], pages[at]])
+                    held = np.concatenate([best[view, sign], new]) if (view, sign) in best else new
+                    best[view, sign] = held[np.lexsort(held.T[::-1])[:most]]
+        for (view, sign), held in best.items():
+            n, width = len(held), len(content(""))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, view, dtype=np.int32)), pa.array(np.full(n, sign, dtype=np.int32)), pa.array(held[:, 0]), pa.array(held[:, 1 : 1 + width].tolist(), pa.list_(pa.float64())), pa.array(held[:, 1 + width :].astype(np.int64).tolist(), pa.list_(pa.int64()))], ["view", "sign", "place", "content", "page"])
+
+    return run
+
+
+def _arrays(text: pa.Array, pages: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(text.flatten(), dtype=float).reshape(len(text), len(content(""))), np.asarray(pages.flatten(), dtype=np.int64).reshape(len(pages), len(page(None, None, None)))
+
+
+def chooser(pool: DataFrame, share: float) -> Callable[[Judge, int], list[Chosen]]:
+    """Picks from pool(content, page), every unlabelled row, the surest ones of all: the best of each task, then the best of those.
+    Equally sure rows go by their features."""
+
+    def choose(judge: Judge, r: int) -> list[Chosen]:
+        most = dict(zip((1, -1), judge.wanted(r, share)))
+        best = materialize(pool.mapInArrow(_surest(pickle.dumps(judge), most[1], most[-1]), "view int, sign int, place double, content array<double>, page array<long>"), "surest")
+        out = []
+        for view in (0, 1):
+            rows = [(row.content, row.page, float(sign > 0)) for sign in (1, -1) for row in best.where((F.col("view") == view) & (F.col("sign") == sign)).orderBy("place", "content", "page").limit(most[sign]).collect()]
+            out.append((np.array([x[0] for x in rows], dtype=float).reshape(len(rows), len(content(""))), np.array([x[1] for x in rows], dtype=int).reshape(len(rows), len(page(None, None, None))), np.array([x[2] for x in rows], dtype=float)))
+        drop_table(best)
+        return out
+
+    return choose
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labels: int = MOST_LABELS, rounds: int = ROUNDS) -> Judge:
+    """A judge from docs(doc_id, text, source, lang, n_chars) and labels(doc_id, quality). At most about most_labels labelled documents
+    teach; the unlabelled rows that views hand over are chosen among all others, whose features are written once."""
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label_col)).cast("int").alias("y"))
     place = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
-    n_known, n_docs = known.count(), docs.count()
+    n_known = known.count()
     share = min(1.0, most_labels / n_known) if n_known else 0.0
     some = known.where(place < share * (1 << 20))
     rows = docs.select("doc_id", *_columns(docs))
-    # The samples of ids are bounded by most_labels, so they are broadcast and no text is shuffled.
-    taught = rows.join(F.broadcast(some), "doc_id")
-    out_of = min(1.0, most_pool / max(1, n_docs))
-    other = F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 20))
-    pool = rows.where(other < out_of * (1 << 20)).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").withColumn("y", F.lit(-1))
-    names = ["y", "text", "source", "lang", "n_chars"]
-    got = taught.select(*names).unionByName(pool.select(*names)).mapInArrow(_features, "y int, content array<double>, page array<long>").toArrow()
+    names = ["text", "source", "lang", "n_chars"]
+    # The sample of ids is bounded by most_labels, so it is broadcast and no text but the sample's is shuffled. One row an id.
+    taught = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("row")).select("y", "row.*")
+    schema = "y int, content array<double>, page array<long>"
+    got = taught.mapInArrow(_features, schema).toArrow()
     y = got["y"].to_numpy() if got.num_rows else np.zeros(0, dtype=int)
-    text = np.array(got["content"].to_pylist(), dtype=float).reshape(len(y), len(content("")))
-    pages = np.array(got["page"].to_pylist(), dtype=int).reshape(len(y), len(page(None, None, None)))
+    text, pages = _arrays(got["content"].combine_chunks(), got["page"].combine_chunks()) if got.num_rows else (np.zeros((0, len(content("")))), np.zeros((0, 4), dtype=int))
     # Rows arrive in any order: sorted, so that reruns agree.
     order = np.lexsort([*text.T, *pages.T, y]) if len(y) else np.zeros(0, dtype=int)
     y, text, pages = y[order], text[order], pages[order]
-    lab = y >= 0
-    if len(set(y[lab].tolist())) < 2 or lab.sum() < 20:
+    if len(set(y.tolist())) < 2 or len(y) < 20:
         return Judge(np.zeros((len(content("")), BINS)), rounds)
-    edges = np.quantile(text[lab], np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
-    # Rare values matter: outer bins lie at the extremes of the lesser class.
-    for k, f in enumerate(text[lab].T):
-        few = f[y[lab] == (0 if y[lab].mean() > 0.5 else 1)]
-        edges[k] = np.sort(np.concatenate([edges[k][1::2], np.quantile(few, [0.05, 0.25, 0.5, 0.75, 0.95])]))[:BINS]
-    judge = Judge(edges, rounds)
-    cells = judge.cells(text)
-    apart = np.arange(lab.sum()) % 4 == 0
-    judge.train(cells[lab], pages[lab], y[lab].astype(float), apart, cells[~lab], pages[~lab])
+    judge = Judge(edges_of(text, y), rounds)
+    pool = rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").select(F.lit(-1).alias("y"), *names)
+    pool = materialize(pool.mapInArrow(_features, schema).select("content", "page"), "pool") if rounds else None
+    judge.train(text, pages, y.astype(float), np.arange(len(y)) % 4 == 0, chooser(pool, y.mean()) if rounds else lambda judge, r: [])
+    drop_table(pool)
     return judge
 
 
+def edges_of(text: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bin edges of each feature: quantiles, and as rare values matter, the extremes of the lesser class."""
+    edges = np.quantile(text, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
+    for k, f in enumerate(text.T):
+        few = f[y == (0 if y.mean() > 0.5 else 1)]
+        edges[k] = np.sort(np.concatenate([edges[k][1::2], np.quantile(few, [0.05, 0.25, 0.5, 0.75, 0.95])]))[:BINS]
+    return edges
+
+
 @lru_cache(1)
 def _judge(raw: bytes) -> Judge:
     return pickle.loads(raw)
@@ -224,7 +275,7 @@ def score(docs: DataFrame, judge: Judge) -> DataFrame:
         for texts, sources, langs, sizes in parts:
             text = np.array([content(x) for x in texts]).reshape(len(texts), -1)
             pages = np.array([page(s, g, None if pd.isna(n) else int(n)) for s, g, n in zip(sources, langs, sizes)])
-            yield pd.DataFrame(dict(zip(("score_text", "score_page", "quality_score"), j.score(j.cells(text), pages))))
+            yield pd.DataFrame(dict(zip(("score_text", "score_page", "quality_score"), j.score(text, pages))))
 
     new = ["score_text", "score_page", "quality_score"]
     return docs.withColumn("__judged", judged(*_columns(docs))).drop(*new).select("*", "__judged.*").drop("__judged")

@@ -2,8 +2,9 @@
 
 A partial partition is one sum of bytes per shard. The two partial partitions of largest spread are combined, the largest
 sums of one with the smallest of the other, again and again until one is left. Groups (equal texts) are split over tasks of
-bounded size; each task differences its own groups, and the tasks' partial partitions, one per task, are then differenced
-in the same way.
+bounded size; each task differences its own groups, and the tasks' partial partitions, one per task, are differenced in the
+same way, level after level, until one is left. At every size the rule is the same; what more levels cost in balance is measured
+in the README.
 
 Defined cases: a null text is no group with others: every such row is its own group of size 1; an empty text has size 1;
 ties are broken by group hash, so reruns agree; a group larger than a shard's share fills its shard alone as far as the
@@ -20,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgeno.llm.common import join_unique, materialize
+from loomgeno.llm.common import drop_table, join_unique, materialize, ordinals
 
-#: Groups differenced in one task, and rows numbered in one window.
-GROUPS_PER_TASK, ROWS_PER_WINDOW = 100_000, 50_000
+#: Groups differenced in one task, partial partitions differenced in one task of a higher level, and rows numbered in one window.
+GROUPS_PER_TASK, PARTS_PER_TASK, ROWS_PER_WINDOW = 100_000, 4096, 50_000
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,43 +80,77 @@ def _local(shards: int):
     return run
 
 
-def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", groups_per_task: int = GROUPS_PER_TASK, rows_per_window: int = ROWS_PER_WINDOW) -> DataFrame:
+def _higher(shards: int):
+    """Differences the partial partitions (task, part, size) of one group of tasks; `to` is the place of each part."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tasks, at = np.unique(pdf.task.to_numpy(), return_inverse=True)
+        parts = np.zeros((len(tasks), shards), dtype=np.int64)
+        parts[at, pdf.part] = pdf["size"]
+        to = difference(parts)[1]
+        grid = np.indices(parts.shape)
+        return pd.DataFrame({"task": tasks[grid[0].ravel()], "part": grid[1].ravel(), "size": parts.ravel(), "up": key[0], "to": to.ravel()})
+
+    return run
+
+
+def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", groups_per_task: int = GROUPS_PER_TASK, parts_per_task: int = PARTS_PER_TASK, rows_per_window: int = ROWS_PER_WINDOW) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row: size is UTF-8 bytes + 1, slot numbers a shard's rows from 0."""
     text, doc_id = F.col(text_col), F.col(id_col)
-    # 128 bits of digest name a group; rows without text are named by their id and a random half.
+    # 128 bits of digest name a group; a row without text is named by its id and its number among those of that id.
     digest = F.unhex(F.md5(text.cast("binary")))
     half = lambda at: F.conv(F.hex(F.substring(digest, at, 8)), 16, -10).cast("long")
     narrow = docs.select(
         doc_id.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(half(1), F.xxhash64(F.lit("null"), doc_id)).alias("g1"), F.coalesce(half(9), F.monotonically_increasing_id()).alias("g2"),
+        half(1).alias("g1"), half(9).alias("g2"), F.monotonically_increasing_id().alias("__uid"),
     )
     narrow = materialize(narrow, "narrow")
-    groups = materialize(narrow.groupBy("g1", "g2").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
+    bare = ordinals(narrow.where("g1 is null"), ["doc_id"], "g2n").withColumn("g1", F.xxhash64(F.lit("null"), "doc_id")).withColumn("g2", F.col("g2n")).drop("g2n")
+    named = materialize(narrow.where("g1 is not null").unionByName(bare), "named")
+    drop_table(narrow)
+    groups = materialize(named.groupBy("g1", "g2").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
     n, total = groups.agg(F.count("*"), F.sum("rows")).first()
     tasks = max(1, -(-n // groups_per_task))
-    placed = groups.withColumn("task", F.pmod(F.xxhash64("g1", "g2", F.lit("task")), F.lit(tasks)).cast("int"))
-    placed = materialize(placed.groupBy("task").applyInPandas(_local(shards), "g1 long, g2 long, size long, rows long, task int, part int"), "placed")
-    # One partial partition for each task.
-    sums = placed.groupBy("task", "part").agg(F.sum("size").alias("size")).orderBy("task", "part").collect()
-    parts = np.zeros((tasks, shards), dtype=np.int64)
-    for r in sums:
-        parts[r.task, r.part] = r["size"]
-    to = difference(parts)[1]
-    where = docs.sparkSession.createDataFrame([(t, p, int(to[t, p])) for t in range(tasks) for p in range(shards)], "task int, part int, shard int")
-    shard_of = materialize(placed.join(where, ["task", "part"]).select("g1", "g2", "rows", "shard"), "shards")
-    out = materialize(join_unique(narrow, shard_of, ["g1", "g2"], "rows", total or 0).drop("g1", "g2"), "assigned")
-    return with_slots(out, total or 0, shards, rows_per_window)
-
-
-def with_slots(rows: DataFrame, total: int, shards: int, rows_per_window: int) -> DataFrame:
-    """Numbers the rows of each shard: buckets of bounded size by hash, and their offsets."""
-    buckets = max(1, -(-total // (shards * rows_per_window)))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int"))
-    offsets = rows.groupBy("shard", "b").agg(F.count("*").alias("n"))
-    offsets = offsets.select("shard", "b", (F.sum("n").over(Window.partitionBy("shard").orderBy("b")) - F.col("n")).alias("first"))
-    inner = F.row_number().over(Window.partitionBy("shard", "b").orderBy("doc_id", "text_crc32", "size")) - 1
-    numbered = rows.withColumn("inner", inner).join(offsets, ["shard", "b"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("inner")).cast("long").alias("slot"))
+    placed = groups.withColumn("task", F.pmod(F.xxhash64("g1", "g2", F.lit("task")), F.lit(tasks)).cast("long"))
+    placed = materialize(placed.groupBy("task").applyInPandas(_local(shards), "g1 long, g2 long, size long, rows long, task long, part int"), "placed")
+    drop_table(groups)
+    # Level after level, the partial partitions of a bounded number of tasks are differenced in one.
+    where, level = placed.groupBy("task", "part").agg(F.sum("size").alias("size")), None
+    while True:
+        up = where.withColumn("up", F.floor(F.col("task") / parts_per_task)).groupBy("up").applyInPandas(_higher(shards), "task long, part int, size long, up long, to int")
+        up = materialize(up, "level")
+        # task, part: those of the first level; at, now: the partial partition that holds them.
+        level = up.select("task", "part", F.col("up").alias("at"), F.col("to").alias("now")) if level is None else level.join(up.select(F.col("task").alias("at"), F.col("part").alias("now"), "up", "to"), ["at", "now"]).select("task", "part", F.col("up").alias("at"), F.col("to").alias("now"))
+        tasks = -(-tasks // parts_per_task)
+        if tasks <= 1:
+            break
+        where = up.groupBy(F.col("up").alias("task"), F.col("to").alias("part")).agg(F.sum("size").alias("size"))
+    shard_of = materialize(placed.join(level.select("task", "part", F.col("now").alias("shard")), ["task", "part"]).select("g1", "g2", "rows", "shard"), "shards")
+    out = materialize(join_unique(named, shard_of, ["g1", "g2"], "rows", total or 0).drop("g1", "g2", "__uid").withColumn("__uid", F.monotonically_increasing_id()), "assigned")
+    for t in (placed, named, shard_of):
+        drop_table(t)
+    return with_slots(out, rows_per_window)
+
+
+def with_slots(rows: DataFrame, rows_per_window: int) -> DataFrame:
+    """Numbers the rows of each shard, written rows with __uid: distinct rows in buckets of bounded size by hash, with their offsets,
+    and rows that are alike one after the other."""
+    key = ["shard", "doc_id", "text_crc32", "size"]
+    kinds = materialize(rows.groupBy(*key).agg(F.count("*").alias("n")), "kinds")
+    buckets = max(1, -(-kinds.count() // rows_per_window))
+    kinds = kinds.withColumn("b", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(buckets)).cast("int"))
+    offsets = kinds.groupBy("shard", "b").agg(F.sum("n").alias("rows"))
+    offsets = offsets.select("shard", "b", (F.sum("rows").over(Window.partitionBy("shard").orderBy("b")) - F.col("rows")).alias("first"))
+    inner = F.sum("n").over(Window.partitionBy("shard", "b").orderBy("doc_id", "text_crc32", "size")) - F.col("n")
+    kinds = kinds.withColumn("inner", inner).join(offsets, ["shard", "b"]).select(*key, "n", (F.col("first") + F.col("inner")).alias("first"))
+    many = kinds.where("n > 1").select(*key, "n", "first")
+    total = rows.count()
+    # Rows of their own kind need no number among their like.
+    one = kinds.where("n = 1").select("doc_id", "size", "text_crc32", "shard", F.col("first").alias("slot"))
+    like = join_unique(rows, many, key, "n", total).where("first is not null")
+    like = materialize(like, "alike")
+    numbered = ordinals(like, key).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("ordinal")).alias("slot"))
+    return one.unionByName(numbered).withColumn("slot", F.col("slot").cast("long"))
 
 
 def shard_report(docs: DataFrame, shards: int = 8, **options) -> DataFrame:

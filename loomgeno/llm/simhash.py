@@ -166,8 +166,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lon
 #: Positional bytes of a signature, and bytes of a band. A pair of shingle sets with similarity 0.8 shares a byte with a chance of
 #: 0.8: it misses all 24 bands once in 300,000 times, and shares fewer than LEAST_BYTES bytes once in 100,000 times.
 WIDTH, BAND, LEAST_BYTES = 96, 4, 60
-#: Longest list of a band whose pairs are formed directly.
-LONGEST_BAND = 128
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SIGNATURE = [f"g{i}" for i in range(WIDTH // 8)]
@@ -227,13 +225,6 @@ def _shared(a: str, b: str) -> Column:
     return total
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs (a, b) that share enough positional bytes."""
-    own = nodes.select("rid", F.struct(*SIGNATURE).alias("sig"))
-    x = pairs.distinct().join(own.withColumnsRenamed({"rid": "a", "sig": "x"}), "a").join(own.withColumnsRenamed({"rid": "b", "sig": "y"}), "b")
-    return x.where(_shared("x", "y") >= least).select("a", "b")
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, k: int) -> DataFrame:
     """(rid, shingles) of the texts named by wanted(rid, t1, rh); shingles as little-endian bytes."""
 
@@ -271,15 +262,16 @@ def _row_key(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.coalesce(digest, F.lit(0).cast("long")).alias("t1"), F.xxhash64(*plain).alias("rh")]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, longest: int = LONGEST_BAND) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, t1, rh, m, root): the distinct rows of docs, how often each is there, and the class of each: texts that a chain of pairs
     with Jaccard similarity of k-word shingle sets from `similarity` up connects. Written to the shared folder.
 
     A 64-bit SimHash can't find these pairs: at similarity 0.8 a pair differs in some 10 of 64 bits, which no number of shared
     bytes of 8 guarantees. So the positional bytes are those of minimum hashes, of which such a pair shares 77 of 96; the index,
-    the tally, the minimum of matches and the verification are the method's. Lists are posted under bands of four positions. A list
-    too long for its pairs is a star around its least member first; after that, those of its members that aren't in the largest
-    class are paired with all members of other classes, and no list is cut."""
+    the tally, the minimum of matches and the verification are the method's. Lists are posted under bands of four positions. The
+    members of a list are compared with its least one first. After that, where a list holds several classes, those of its members
+    that aren't in the largest class are compared with all members of other classes: pairs within a class need no comparison, so
+    a group of copies costs what it has members, and no list is cut."""
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     narrow = docs.select(F.col(id_col).alias("id"), *_row_key(docs, text_col), F.col(text_col).cast("binary").alias("__text"))
@@ -287,14 +279,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(narrow.mapInArrow(_signed(k), schema), "signed")
     nodes = rows.groupBy("s1", "s2").agg(F.min(F.struct("t1", "rh")).alias("rep"), *[F.first(g).alias(g) for g in SIGNATURE])
     nodes = materialize(nodes.select("s1", "s2", "rep.t1", "rep.rh", *SIGNATURE, F.monotonically_increasing_id().alias("rid")), "nodes")
-    half = [F.struct(F.lit(2 * i + s).cast("byte").alias("band"), F.shiftrightunsigned(g, 32 * s).bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")) for i, g in enumerate(SIGNATURE) for s in (0, 1)]
-    posts = materialize(nodes.select("rid", F.inline(F.array(*half))), "posts")
-    sizes = posts.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rid").alias("least")).where("n > 1")
-    found = materialize(posts.join(sizes, ["band", "key"]), "lists")
-    short = found.where(F.col("n") <= longest)
-    a, b = short.select("band", "key", F.col("rid").alias("a")), short.select("band", "key", F.col("rid").alias("b"))
-    stars = found.where((F.col("n") > longest) & (F.col("rid") != F.col("least"))).select(F.col("least").alias("a"), F.col("rid").alias("b"))
-    pairs = materialize(_filtered(a.join(b, ["band", "key"]).where("a < b").select("a", "b").unionByName(stars), nodes, LEAST_BYTES), "pairs")
+    half = [F.shiftrightunsigned(g, 32 * s).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit((2 * i + s) << 32)) for i, g in enumerate(SIGNATURE) for s in (0, 1)]
+    posts = materialize(nodes.select("rid", F.explode(F.array(*half)).alias("list")), "posts")
+    sizes = posts.groupBy("list").agg(F.count("*").alias("n"), F.min("rid").alias("least")).where("n > 1")
+    found = materialize(posts.join(sizes, "list"), "lists")
+    drop_table(posts)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
@@ -303,39 +292,41 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop_table(sets)
         return out
 
+    sigs = nodes.select("rid", F.struct(*SIGNATURE).alias("sig"))
+    stars = found.where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct()
+    stars = stars.join(sigs.withColumnsRenamed({"rid": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"rid": "b", "sig": "y"}), "b")
+    pairs = materialize(stars.where(_shared("x", "y") >= LEAST_BYTES).select("a", "b"), "pairs")
     links = confirm(pairs)
     roots = components(links)
-    long_ = found.where(F.col("n") > longest).select("band", "key", "rid")
-    if not long_.isEmpty():
-        rooted = long_.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        rooted = materialize(rooted, "rooted")
-        # The largest class of each list, by counts.
-        top = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("root", "c").alias("top"))
-        rest = rooted.join(top, ["band", "key"]).where("root <> top").select("band", "key", F.col("rid").alias("a"), F.col("root").alias("ra"))
-        rest = materialize(rest, "rest")
-        if not rest.isEmpty():
-            other = rest.join(rooted.select("band", "key", F.col("rid").alias("b"), F.col("root").alias("rb")), ["band", "key"]).where("ra <> rb")
-            other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more = materialize(_filtered(other, nodes, LEAST_BYTES), "pairs")
-            again = confirm(more)
-            roots = components(links.unionByName(again))
-            for t in (more, again):
-                drop_table(t)
-        for t in (rooted, rest):
-            drop_table(t)
+    # A list of two has been compared whole; a longer one too, if the links around its least member made it one class.
+    rooted = found.where("n > 2").select("list", "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    rooted = materialize(rooted, "rooted")
+    classes_ = rooted.groupBy("list", "root").agg(F.count("*").alias("c"))
+    mixed = classes_.groupBy("list").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1").select("list", "top")
+    members = materialize(rooted.join(mixed, "list").join(sigs, "rid"), "mixed")
+    other = members.where("root <> top").select("list", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("x")).join(members.select("list", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("y")), "list")
+    # The tally is taken as postings meet, so pairs that fall short are rows of no table.
+    other = other.where("ra <> rb").where(_shared("x", "y") >= LEAST_BYTES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(other.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        again = confirm(more)
+        roots = components(links.unionByName(again))
+        drop_table(again)
+    for t in (rooted, members, more):
+        drop_table(t)
     named = nodes.select("rid", "s1", "s2").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("s1", "s2", F.coalesce("root", "rid").alias("root"))
     distinct = rows.groupBy("id", "t1", "rh", "s1", "s2").agg(F.count("*").alias("m"))
     out = materialize(distinct.join(named, ["s1", "s2"]).select("id", "t1", "rh", "m", "root"), "classes")
-    for t in (rows, nodes, posts, found, pairs, links):
+    for t in (rows, nodes, found, pairs, links):
         drop_table(t)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, longest: int = LONGEST_BAND) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each class of near_classes(): the one of least id (null last), then of least row digest. Which row goes is
     decided row by row: an id that has several texts keeps those that are in other classes, and of rows alike in all columns one
     stays. Null, empty and blank texts have no shingle and are one class."""
-    rows = near_classes(docs, id_col, text_col, k, similarity, longest)
+    rows = near_classes(docs, id_col, text_col, k, similarity)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "t1", "rh")
     first = rows.groupBy("root").agg(F.min(order).alias("best"), F.sum("m").alias("rows")).where("rows > 1").select("root", "best")
     # Few rows of a class stay, many go: both are named by row, and counted for the join.

@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, joined with rules on short hash prefixes.
 
 Each distinct (host, path prefix) is expanded into the expressions a rule could have: the host and its parent domains, with
-every prefix of the path whose length some rule has. The 32-bit prefix of an expression's SHA-256 digest is equi-joined
-with the rules'; the full digests confirm a match, and the longest rule wins.
+every prefix of the path whose length some rule has. The 32-bit prefix of an expression's SHA-256 digest alone is equi-joined
+with the rules'; only for what it matches is the full digest taken and compared, and the longest confirmed rule wins.
 
 Defined cases: a null url, or one without ://, has empty host and path, which no rule fits; equal longest rules can differ
 only in the share of host, and the longer host wins; a rule listed twice with both verdicts blocks; urls without a rule get
@@ -36,15 +36,17 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("/\n"), path).cast("binary"), 256)
 
 
-def _short(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+def _short(digest: Column, digits: int) -> Column:
+    """The first hex digits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict added (columns of these names are replaced). rules: host, path, verdict."""
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", digits: int = 8) -> DataFrame:
+    """pages with host, path, rule and verdict added (columns of these names are replaced). rules: host, path, verdict. Digests are
+    joined on their first `digits` hex digits."""
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rhost"), F.coalesce("path", F.lit("")).alias("rpath"), F.col("verdict").alias("rverdict"))
     rules = rules.groupBy("rhost", "rpath").agg(F.max("rverdict").alias("rverdict"))
-    rules = materialize(rules.withColumn("rfull", _digest(F.col("rhost"), F.col("rpath"))).withColumn("rshort", _short(F.col("rfull"))), "rules")
+    rules = materialize(rules.withColumn("rfull", _digest(F.col("rhost"), F.col("rpath"))).withColumn("rshort", _short(F.col("rfull"), digits)), "rules")
     lengths = sorted(r[0] for r in rules.select(F.length("rpath")).distinct().collect())
     longest = max(lengths, default=0)
     mine = pages.drop("host", "path", "rule", "verdict", "__hit").withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
@@ -56,11 +58,13 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("__head")), lambda n: F.left("__head", n))
     hosts = keys.where("host <> ''").select("host", "__head", F.explode(suffixes).alias("h"), prefixes.alias("ps"))
-    each = hosts.select("host", "__head", "h", F.explode("ps").alias("p")).withColumn("full", _digest(F.col("h"), F.col("p"))).withColumn("short", _short(F.col("full")))
-    # Hot expressions meet one rule row each; adaptive execution splits or broadcasts this join by measured size.
-    hits = each.join(rules, (F.col("short") == F.col("rshort")) & (F.col("full") == F.col("rfull")))
-    rank = F.struct((F.length("rhost") + F.length("rpath")).alias("a"), F.length("rhost").alias("b"))
-    best = hits.groupBy("host", "__head").agg(F.max_by(F.struct(F.concat("rhost", "rpath").alias("rule"), F.col("rverdict").alias("verdict")), rank).alias("__hit"))
+    each = hosts.select("host", "__head", "h", F.explode("ps").alias("p")).withColumn("short", _short(_digest(F.col("h"), F.col("p")), digits))
+    # Hot expressions meet the few rules of one short prefix; adaptive execution splits or broadcasts this join by measured size.
+    hits = each.join(rules, F.col("short") == F.col("rshort"))
+    # The confirmation is a condition of the aggregate, as the optimiser would make a filter part of the join's key.
+    sure = _digest(F.col("h"), F.col("p")) == F.col("rfull")
+    rank = F.when(sure, F.struct((F.length("rhost") + F.length("rpath")).alias("a"), F.length("rhost").alias("b")))
+    best = hits.groupBy("host", "__head").agg(F.max_by(F.struct(F.concat("rhost", "rpath").alias("rule"), F.col("rverdict").alias("verdict")), rank).alias("__hit"), F.count_if(~sure).alias("__refused"))
     found = materialize(keys.join(best, ["host", "__head"]).select("host", "__head", "__n", "__hit"), "hits")
     out = join_unique(mine, found, ["host", "__head"], "__n", total).drop("__head")
     return out.withColumn("rule", F.col("__hit.rule")).withColumn("verdict", F.coalesce("__hit.verdict", F.lit(default))).drop("__hit")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -56,6 +57,22 @@ def test_stream_equals_whole(both):
     assert list(own.stream(cuts)) == own._merge(raw)
 
 
+def test_memory_does_not_grow_with_the_text(both):
+    """Ids come in blocks: neither a long text nor a long piece is held as ids."""
+    own = both[0]
+    for text in ("the thing in the " * 60_000, "ab" * 300_000):
+        n = 0
+        tracemalloc.start()
+        back = hashlib.sha256()
+        for s in own.decode(np.frombuffer(b, dtype="<u4") for b in own.encode(text)):
+            back.update(s.encode())
+            n += len(s)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(text) and back.hexdigest() == digest(text.encode())
+        assert most < 12 << 20
+
+
 def test_decoder_state_across_blocks(both):
     ids = both[0].ids("naïve 中文 \U0001f600")
     assert "".join(both[0].decode([[i] for i in ids])) == "naïve 中文 \U0001f600"

@@ -1,19 +1,62 @@
 import hashlib
 import random
 
+import xxhash
+
 from loomgeno.llm import fingerprint as fp
 from tests.llm.helpers import docs, odd_docs
 
 
-def brute(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+def plain_ends(data):
+    """Chunk ends by the definition alone: a gear hash of 16 bytes at each place, byte by byte."""
+    out, last = [], 0
+    for end in range(1, len(data) + 1):
+        h = 0
+        for b in data[max(0, end - fp.REACH) : end]:
+            h = (2 * h + int(fp.GEAR[b])) % 2**32
+        long_, easy, strict = end - last, h & fp.EASY == 0, h & fp.STRICT == 0
+        if long_ == fp.MOST and not (easy and long_ >= fp.USUAL) or easy and long_ >= fp.USUAL or strict and long_ >= fp.LEAST:
+            out.append(end)
+            last = end
+    return out + [len(data)] * (last < len(data))
+
+
+def plain_chunks(text):
+    out, last, data = {}, 0, text.encode()
+    for end in plain_ends(data):
+        out[xxhash.xxh3_64_intdigest(data[last:end]) >> 16] = end - last
+        last = end
+    return out
+
+
+def plain_text(found):
+    return "".join(f"{d:012x}{n:02x}" for d, n in sorted(found.items()))
+
+
+def plain_likeness(a, b):
+    return sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else float(not b)
+
+
+def by_text(row):
+    return row[0] is None, -(row[0] or 0), row[1] is not None, row[1] or ""
+
+
+def brute(rows, key=by_text):
+    order = sorted(rows, key=key)
+    known = {}
+
+    def chunked(t):
+        if t not in known:
+            known[t] = plain_chunks(t) if len(t) < 3000 else fp.chunks(t.encode())
+        return known[t]
+
     out = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        a, b, c = (fp.chunks(x.encode()) for x in (t, e, nxt))
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fp.to_text(a), fp.to_text(b), fp.likeness(a, b), fp.likeness(a, c)))
+        a, b, c = map(chunked, (t, e, nxt))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), plain_text(a), plain_text(b), plain_likeness(a, b), plain_likeness(a, c)))
     return sorted(out, key=str)
 
 
@@ -39,6 +82,37 @@ def test_odd_rows(spark):
     assert one.near_next == 1.0
 
 
+def test_boundaries_against_the_definition():
+    rng = random.Random(4)
+    for n in (0, 1, 11, 12, 160, 161, 700, 4000):
+        raw = bytes(rng.choice(b"abcdefgh \n") for _ in range(n))
+        assert fp.boundaries(raw) == plain_ends(raw), n
+    assert fp.boundaries(b"a" * 1000) == plain_ends(b"a" * 1000)
+
+
+def test_half_of_the_ids_are_null(spark):
+    """A hot id is cut by the hash of its texts."""
+    rng = random.Random(5)
+    rows = [(None if i % 2 else i % 90, f"text {i} " + "abcde"[: rng.randint(0, 5)] * rng.randint(0, 9)) for i in range(400)]
+    df = docs(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    k = -(-200 // 10)
+
+    def place(row):
+        h = xxhash.xxh64_intdigest(row[1].encode(), 42)
+        h -= (h >> 63) << 64
+        return row[0] is None, -(row[0] or 0), ((h >> 24) + (1 << 39)) * k // (1 << 40) if row[0] is None else 0, row[1]
+
+    assert sorted(map(tuple, fp.edit_report(df, rows_per_range=10).collect()), key=str) == brute(rows, place)
+
+
+def test_half_of_the_rows_are_alike(spark):
+    rows = [(7, "the same text of one id")] * 300 + [(i, f"another text {i}") for i in range(200)]
+    out = fp.edit_report(docs(spark, [(i, t, "en", "a", 1) for i, t in rows]), rows_per_range=10).collect()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in rows)
+    same = [r.near_next for r in out if r.n_chars == 23]
+    assert sum(x == 1.0 for x in same) == 299
+
+
 def test_shift_resistance_and_round_trip():
     rng = random.Random(1)
     t = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(2000))

@@ -31,20 +31,78 @@ def test_mixtures(spark):
     p = langid.Predictor(langid.fit(docs(spark, rows)))
     for share in (0.25, 0.4):
         text = sentence(rng, "xx", int(400 * (1 - share))) + " " + sentence(rng, "zz", int(400 * share))
-        lang, score, n, _ = p.predict(text)
-        assert (lang, n) == ("xx", 2) and abs(score - (1 - share)) < 0.08
-    assert p.predict(sentence(rng, "yy", 5))[::2] == ("yy", 1)
+        lang, score, n, _, named = p.predict(text)
+        assert (lang, n) == ("xx", 2) and abs(score - (1 - share)) < 0.08 and named.startswith(f"xx:{score:.3f}|zz:")
+    assert p.predict(sentence(rng, "yy", 5))[:3:2] == ("yy", 1)
     # The proportions agree with EM over every word, one by one.
     text = sentence(rng, "xx", 30) + " " + sentence(rng, "yy", 50)
     ll = p.model.likelihood([w.encode() for w in text.split()])
     pi = np.full(3, 1 / 3)
-    for _ in range(p.rounds):
+    for _ in range(300):
         r = pi * np.exp(ll - ll.max(axis=1, keepdims=True))
         pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
     words = langid.words_of(text)
     rel = p._likelihoods(list(words))
     own, _ = p.mixture(np.exp(np.maximum(rel - rel.max(axis=1, keepdims=True), -60)), np.array(list(words.values()), dtype=float))
-    assert np.allclose(pi, own, atol=1e-6)
+    assert np.allclose(pi, own, atol=2e-3)
+
+
+def brute_set(e, c, penalty):
+    """Every nested set by itself, its proportions by a long EM over words taken one by one."""
+    full = long_em(e, c)
+    order = sorted(range(e.shape[1]), key=lambda k: -full[k])
+    scores = []
+    for k in range(1, e.shape[1] + 1):
+        own = e[:, order[:k]]
+        pi = long_em(own, c)
+        scores.append(sum(n * np.log(row @ pi) for row, n in zip(own, c)) - penalty * np.log(c.sum() + 1) * (k - 1))
+    return 1 + int(np.argmax(scores)), order
+
+
+def long_em(e, c, rounds=3000):
+    pi = np.full(e.shape[1], 1 / e.shape[1])
+    for _ in range(rounds):
+        r = pi * e
+        pi = (c[:, None] * r / r.sum(axis=1, keepdims=True)).sum(axis=0) / c.sum()
+    return pi
+
+
+class Table:
+    """A model of given likelihoods."""
+
+    def __init__(self, rows):
+        self.langs, self.rows = [f"l{k}" for k in range(len(next(iter(rows.values()))))], rows
+
+    def likelihood(self, words):
+        return np.log([self.rows[w.decode()] for w in words])
+
+
+def test_choice_of_the_set_against_brute_force():
+    rng = np.random.default_rng(3)
+    sizes = set()
+    for case in range(40):
+        k = int(rng.integers(2, 6))
+        words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(30)]
+        truth = rng.choice(k, size=int(rng.integers(1, k + 1)), replace=False)
+        rows = {w: np.exp(rng.normal(-12, 1, k) + 5 * (np.arange(k) == rng.choice(truth))) for w in words}
+        c = rng.integers(1, 6, len(words))
+        p = langid.Predictor(Table(rows), tol=1e-9, most_rounds=3000)
+        text = " ".join(w for w, n in zip(words, c) for _ in range(n))
+        found = langid.words_of(text)
+        e = np.array([rows[w] / max(rows[w]) for w in found])
+        want, order = brute_set(e, np.array(list(found.values()), dtype=float), p.penalty)
+        lang, score, n, _, named = p.predict(text)
+        assert n == want and {x.split(":")[0] for x in named.split("|")} == {f"l{k}" for k in order[:n]}
+        sizes.add(n)
+    assert len(sizes) > 2
+
+
+def test_sets_that_pay_only_together():
+    """Three languages that pay together, though neither pair of them does."""
+    one, none = 1.0, 1e-9
+    rows = {"a" * 5: [one, none, none], "b" * 5: [none, one, none], "c" * 5: [none, none, one]}
+    p = langid.Predictor(Table(rows), tol=1e-9)
+    assert p.predict(" ".join(["a" * 5, "b" * 5, "c" * 5]))[2] == brute_set(np.array(list(rows.values())), np.ones(3), p.penalty)[0] == 3
 
 
 def test_odd_rows(spark):

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomgeno.llm import rpforest
@@ -49,12 +50,57 @@ def test_deep_trees_recall(spark, block):
     near = [b + 0.3 * rng.standard_normal(32) / 32**0.5 * np.linalg.norm(b) for b in base for _ in range(4)]
     rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate([*base, *near])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    have, want = got(df, leaf_rows=12, block=block), brute(rows)
+    have, want = got(df, trees=16, leaf_rows=12, block=block), brute(rows)
     n, m = sum(r[1] for r in have), sum(r[1] for r in want)
     assert 0.95 * m <= n <= m
     assert all(h[1] <= w[1] for h, w in zip(sorted(have), sorted(want)))
 
 
+@pytest.mark.parametrize("options", [{}, {"leaf_rows": 400}])
+def test_recall_on_20000_vectors(spark, options):
+    """Against every pair: with the query's own parameters, and with trees as deep as some 200,000 vectors have."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((8000, 64))
+    cosines = rng.uniform(0.86, 0.99, 12000)
+    noise = rng.standard_normal((12000, 64))
+    own = base[rng.integers(0, 8000, 12000)]
+    own = own / np.linalg.norm(own, axis=1, keepdims=True)
+    noise -= (noise * own).sum(axis=1, keepdims=True) * own
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([base, cosines[:, None] * own + np.sqrt(1 - cosines**2)[:, None] * noise]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    pairs = []
+    for at in range(0, len(u), 2000):
+        a, b = np.nonzero(u[at : at + 2000] @ u.T >= 0.9)
+        pairs += [(i + at, j) for i, j in zip(a.tolist(), b.tolist()) if i + at < j]
+    degree = np.bincount(np.array(pairs).ravel(), minlength=len(u))
+    root = union_find(range(len(u)), pairs)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    out = rpforest.link(df, **options).toPandas().sort_values("vec_id")
+    links = out.n_links.to_numpy()
+    assert (links <= degree).all() and len(pairs) > 9000
+    assert links.sum() >= (0.98 if not options else 0.9) * degree.sum()
+    assert all(root[c] == root[i] for i, c in zip(out.vec_id, out.component_id))
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs a hair above and below it, that 16 bits can't tell apart."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        a = rng.standard_normal(24)
+        a /= np.linalg.norm(a)
+        n = rng.standard_normal(24)
+        n -= (n @ a) * a
+        n /= np.linalg.norm(n)
+        c = 0.9 + (1 if k % 2 else -1) * 10.0 ** -rng.integers(5, 10)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * n).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    have = got(df)
+    assert have == brute(rows) and sum(r[1] for r in have) == 40
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, -0.0]), (9, [2.0, 0.0]),
@@ -70,6 +116,6 @@ def test_dense_group_of_copies(spark):
     c = rng.standard_normal(16)
     rows = [(i, [float(np.float32(x)) for x in (c + 0.01 * rng.standard_normal(16))]) for i in range(120)] + [(200 + i, [float(np.float32(x)) for x in c]) for i in range(80)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    have, want = got(df, leaf_rows=10, block=16), brute(rows)
+    have, want = got(df, trees=16, leaf_rows=10, block=16), brute(rows)
     assert [(r[0], r[2], r[3]) for r in have] == [(r[0], r[2], r[3]) for r in want]
     assert sum(r[1] for r in want) >= sum(r[1] for r in have) >= 0.98 * sum(r[1] for r in want)

@@ -46,7 +46,7 @@ def check(df, **options):
     return rows, out, bytes_
 
 
-@pytest.mark.parametrize("options", [{}, {"groups_per_task": 20, "rows_per_window": 5}])
+@pytest.mark.parametrize("options", [{}, {"groups_per_task": 20, "rows_per_window": 5}, {"groups_per_task": 6, "parts_per_task": 3}])
 def test_whole_table(spark, sf, options):
     rows, out, sizes = check(spark.read.parquet(f"{sf}/documents.parquet"), **options)
     groups, shard = defaultdict(int), {r.doc_id: r.shard for r in out}
@@ -63,3 +63,25 @@ def test_odd_rows(spark):
     check(odd_docs(spark))
     assert sharding.shard_report(odd_docs(spark).limit(0)).collect() == []
     check(docs(spark, [(i, None, None, None, None) for i in range(20)]))
+
+
+def test_reruns_over_another_layout_agree(spark):
+    """Half of the rows have no id, many are alike, many have no text."""
+    rows = [(None if i % 2 else i % 37, None if i % 3 == 0 else f"text {i % 11}" * (i % 5), "en", "a", 1) for i in range(400)]
+    df = docs(spark, rows)
+    plain = lambda d: sorted(map(tuple, sharding.shard_report(d, groups_per_task=50, rows_per_window=20).collect()), key=str)
+    check(df, groups_per_task=50, rows_per_window=20)
+    assert plain(df.repartition(7, "n_chars", "doc_id")) == plain(df.coalesce(1))
+
+
+def test_spread_by_number_of_tasks():
+    """More tasks are differenced in more levels; the spread stays far below the largest size."""
+    rng = np.random.default_rng(1)
+    sizes = rng.lognormal(7, 1, 4000).astype(np.int64) + 1
+    for tasks in (1, 2, 20):
+        sums = []
+        for part in np.array_split(sizes, tasks):
+            at = sharding.place_groups(np.sort(part)[::-1], 8)
+            sums.append(np.bincount(at, weights=part[np.argsort(-part, kind="stable")], minlength=8).astype(np.int64))
+        last = sharding.difference(np.array(sums))[0]
+        assert last.max() - last.min() <= 3

@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from loomgeno.llm import urls
 
@@ -44,6 +45,16 @@ def test_random_rules(spark):
     assert run(spark, pages, rules) == sorted(((i, *brute(u, [(h, p, v) for (h, p), v in seen.items()])) for i, u in pages), key=str)
 
 
+@pytest.mark.parametrize("digits", [1, 2])
+def test_short_prefixes_that_collide(spark, digits):
+    """Half of what the short prefix matches is refused by the full digest."""
+    rules = [(f"h{i}.com", "/", "allow" if i % 2 else "block") for i in range(300)]
+    pages = [(i, f"http://x.h{i}.com/p") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    out = urls.judge(df, spark.createDataFrame(rules, urls.RULE), digits=digits)
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect()) == [(i, *brute(u, rules)) for i, u in pages]
+
+
 def test_empty_tables(spark):
     assert run(spark, [], None) == []
     assert run(spark, [(1, "http://com/")], []) == [(1, "com", "/", None, "allow")]
