@@ -81,18 +81,20 @@ def ancestors(ped: DataFrame, members: DataFrame, most: int = 64) -> DataFrame:
 
 
 def generations(ped: DataFrame, most: int = 64) -> DataFrame:
-    """(member, generation): founders 0, others one more than their later parent."""
-    edges = ped.select("member", "mother", "father")
-    now = edges.where("mother = 0 and father = 0").select("member", F.lit(0).alias("generation"))
-    left = edges.where("not (mother = 0 and father = 0)")
-    done = left.sparkSession.createDataFrame([], now.schema)
-    for _ in range(most):
-        done = checkpoint(done.unionByName(now))
-        level = done.select(F.col("member").alias("p"), F.col("generation").alias("g"))
-        m = left.join(level.withColumnsRenamed({"p": "mother", "g": "gm"}), "mother").join(level.withColumnsRenamed({"p": "father", "g": "gf"}), "father")
-        now = m.join(done.select("member"), "member", "left_anti").select("member", (F.greatest("gm", "gf") + 1).alias("generation"))
+    """(member, generation): founders 0, others one more than their later parent, which is the longest line down from a founder.
+    Each step is one join of the last generation's members with their children; a member may be met in several steps, the last of
+    which counts."""
+    edges = checkpoint(ped.select(F.col("member").alias("child"), F.explode(F.array("mother", "father")).alias("parent")).where("parent <> 0").distinct())
+    now = checkpoint(ped.where("mother = 0 and father = 0").select("member").distinct())
+    met = []
+    for k in range(most):
+        met.append(now.withColumn("generation", F.lit(k)))
+        now = checkpoint(now.join(edges, now["member"] == edges["parent"]).select(F.col("child").alias("member")).distinct())
         if now.isEmpty():
-            return done
+            out = met[0]
+            for m in met[1:]:
+                out = out.unionByName(m)
+            return out.groupBy("member").agg(F.max("generation").alias("generation"))
     raise RuntimeError("pedigree deeper than expected, or cyclic")
 
 

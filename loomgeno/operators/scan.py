@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgeno.functions.special import log_chi2_tail
+from loomgeno.operators.hmm import whole_chains
+
+
+#: Most bytes of permuted phenotypes that are sent to every task.
+MOST_BYTES = 64 << 20
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> float:
@@ -20,20 +27,39 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> float:
 
 
 def scan(probs: DataFrame, pheno: DataFrame, ridge: float = 0.01) -> DataFrame:
-    """probs(marker, ind, p array), pheno(ind, y): (marker, loglik, lod, neglog10p). The first state is the reference. A
-    group is one marker's individuals."""
-    j = probs.join(pheno.select("ind", "y"), "ind").select("marker", "ind", "p", "y")
+    """probs(marker, ind, p array), pheno(ind, y): (marker, loglik, lod, neglog10p). The first state is the reference. Rows are
+    brought together by marker and summed to the moments of its states and phenotypes; the systems of a task's markers are
+    solved at once. Phenotypes are centred first, so that sums of squares keep their digits."""
+    centre = pheno.agg(F.avg("y")).first()[0] or 0.0
+    j = probs.join(pheno.select("ind", (F.col("y") - centre).alias("y")), "ind").select("marker", "ind", "p", "y")
     kind = probs.schema["marker"].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ind")
-        p, y = np.stack(pdf.p.to_list()).astype(float)[:, 1:], pdf.y.to_numpy(dtype=float)
-        one = np.ones((len(y), 1))
-        base, full = fit(one, y, ridge), fit(np.hstack([one, p]), y, ridge)
-        gain = max(0.0, full - base)
-        return pd.DataFrame({"marker": [key[0]], "loglik": [full], "lod": [gain / math.log(10)], "neglog10p": [-log_chi2_tail(2 * gain, p.shape[1]) / math.log(10)]})
+    def together(markers: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat(markers)
+        x, y = np.stack(every.p.to_list()).astype(float), every.y.to_numpy(dtype=float)
+        x[:, 0] = 1
+        start = np.cumsum([0, *map(len, markers)])[:-1]
+        n = np.array([len(m) for m in markers], dtype=float)
+        sums = lambda v: np.add.reduceat(v, start, axis=0)
+        xx, xy, yy = sums(x[:, :, None] * x[:, None, :]), sums(x * y[:, None]), sums(y * y)
+
+        def loglik(k: int) -> np.ndarray:
+            # With the centre taken off again, so that the penalty holds for the intercept as it stands.
+            one = xx[:, :k, 0]
+            gy = xy[:, :k] + centre * one
+            b = np.linalg.solve(xx[:, :k, :k] + ridge * np.eye(k), gy[..., None])[..., 0]
+            own = b.copy()
+            own[:, 0] -= centre
+            rss = yy - 2 * (own * xy[:, :k]).sum(axis=1) + np.einsum("mi,mij,mj->m", own, xx[:, :k, :k], own)
+            return -n / 2 * (np.log(np.maximum(rss / n, 1e-300)) + 1)
 
-    return j.groupBy("marker").applyInPandas(run, f"marker {kind}, loglik double, lod double, neglog10p double")
+        base, full = loglik(1), loglik(x.shape[1])
+        gain = np.maximum(0.0, full - base)
+        p = [-log_chi2_tail(2 * g, x.shape[1] - 1) / math.log(10) for g in gain]
+        return pd.DataFrame({"marker": [m.marker.iloc[0] for m in markers], "loglik": full, "lod": gain / math.log(10), "neglog10p": p})
+
+    ordered = j.repartition("marker").sortWithinPartitions("marker", "ind")
+    return ordered.mapInPandas(whole_chains(("marker",), 64, together), f"marker {kind}, loglik double, lod double, neglog10p double")
 
 
 def scan_dose(geno: DataFrame, pheno: DataFrame) -> DataFrame:
@@ -47,16 +73,49 @@ def scan_dose(geno: DataFrame, pheno: DataFrame) -> DataFrame:
 
 
 def permutation_threshold(geno: DataFrame, pheno: DataFrame, n: int, alpha: float = 0.05, seed: int = 1) -> float:
-    """Quantile 1 - alpha of the genome-wide best LOD over n permutations of the phenotype within subpopulations. Permuted
-    phenotypes are n rows an individual; all permutations are scanned in one aggregate."""
-    from pyspark.sql import Window
-
-    reps = pheno.select("ind", "pop", "y").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    w1 = Window.partitionBy("rep", "pop").orderBy("ind")
-    w2 = Window.partitionBy("rep", "pop").orderBy(F.xxhash64(F.lit(seed), "rep", "ind"), "ind")
-    a = reps.select("rep", "pop", "ind", F.row_number().over(w1).alias("k"))
-    b = reps.select("rep", "pop", "y", F.row_number().over(w2).alias("k"))
-    y = a.join(b, ["rep", "pop", "k"]).select("rep", "ind", "y")
-    s = geno.join(y, "ind").groupBy("rep", "marker").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
-    best = s.groupBy("rep").agg(F.max(-F.col("n") / 2 * F.log10(1 - F.col("r") * F.col("r"))).alias("lod"))
-    return best.agg(F.percentile("lod", 1 - alpha)).first()[0]
+    """Quantile 1 - alpha of the genome-wide best LOD over n permutations of the phenotype within subpopulations. An individual's n
+    permuted phenotypes are one array, and a marker's n scans are sums of arrays. The arrays go to every task while they take
+    MOST_BYTES at most; beyond that, cells meet them in a join."""
+    kind = pheno.schema["ind"].dataType.simpleString()
+
+    def permuted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ind")
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key[0]).encode())])
+        y = pdf.y.to_numpy(dtype=float)
+        return pd.DataFrame({"ind": pdf.ind, "ys": list(np.stack([rng.permutation(y) for _ in range(n)], axis=1))})
+
+    # A subpopulation is one task, of a row an individual.
+    ys = pheno.select("ind", "pop", "y").groupBy("pop").applyInPandas(permuted, f"ind {kind}, ys array<double>")
+
+    shared = None
+    if 8 * n * pheno.count() <= MOST_BYTES:
+        held = ys.toPandas().sort_values("ind")
+        shared = pheno.sparkSession.sparkContext.broadcast((held.ind.to_numpy(), np.stack(held.ys.to_list()) if len(held) else np.zeros((0, n))))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, table = np.zeros(n), shared.value if shared else None
+
+        def together(markers: list[pd.DataFrame]) -> pd.DataFrame:
+            every = pd.concat(markers)
+            x, y = every.x.to_numpy(dtype=float), table[1][np.searchsorted(table[0], every.ind.to_numpy())] if table else np.stack(every.ys.to_list())
+            start = np.cumsum([0, *map(len, markers)])[:-1]
+            m = np.array([len(k) for k in markers], dtype=float)[:, None]
+            sums = lambda v: np.add.reduceat(v, start, axis=0)
+            sx, sxx, sy, syy, sxy = sums(x)[:, None], sums(x * x)[:, None], sums(y), sums(y * y), sums(x[:, None] * y)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = (m * sxy - sx * sy) ** 2 / ((m * sxx - sx * sx) * (m * syy - sy * sy))
+                lod = np.where(r2 < 1, -m / 2 * np.log10(1 - r2), 0)
+            return pd.DataFrame({"lod": [np.nan_to_num(lod, nan=0.0).max(axis=0)]})
+
+        for out in whole_chains(("marker",), n, together)(batches):
+            top = np.maximum(top, np.stack(out.lod.to_list()).max(axis=0))
+        yield pd.DataFrame({"rep": np.arange(n), "lod": top})
+
+    cells = geno.select("marker", "ind", "x")
+    if shared:
+        ordered = cells.join(F.broadcast(pheno.select("ind")), "ind", "left_semi").repartition("marker")
+    else:
+        ordered = cells.join(ys, "ind").select("marker", "ind", "x", "ys").repartition("marker")
+    tops = ordered.sortWithinPartitions("marker").mapInPandas(best, "rep long, lod double")
+    # A row a permutation.
+    return tops.groupBy("rep").agg(F.max("lod").alias("lod")).agg(F.percentile("lod", 1 - alpha)).first()[0]

@@ -16,8 +16,8 @@ INIT, RATE, EMIT = np.array([0.5, 0.5]), np.array([[-1.0, 1.0], [1.0, -1.0]]), n
 
 
 def two_state(pdf: pd.DataFrame) -> np.ndarray:
-    s = pdf["sym"]
-    return np.stack([np.ones(2) if pd.isna(x) else EMIT[:, int(x) - 1] for x in s])
+    s = pdf["sym"].fillna(0).to_numpy(dtype=int)
+    return np.column_stack([np.ones(2), EMIT])[:, s].T
 
 
 def _chains(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("genotypes", "joins", "sequences", "files", "models", "agreement")
+MODULES = ("genotypes", "joins", "sequences", "files", "models", "agreement", "workflows")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
