@@ -271,7 +271,7 @@ def estimate_errors(p: Population, by: str = "marker", err: float = 0.005, found
     """(marker or ind, n, error): the error rate of each marker, or of each individual, that maximises the expected log likelihood of its
     cells under a Beta(1, prior_b) prior; origins are inferred again with the new errors of the markers, `rounds` times. By the
     linearity of the posterior a cell brings the chance of each of its true genotypes, and cells of a key are summed to the nine
-    kinds of (observed, true)."""
+    kinds of (observed, actual)."""
     kind = p.geno.schema[by].dataType.simpleString()
     errors = None
     for r in range(rounds if by == "marker" else 1):
@@ -282,20 +282,20 @@ def estimate_errors(p: Population, by: str = "marker", err: float = 0.005, found
         j = post.join(p.founders.withColumn("pop", F.col("pop").cast("string")), ["marker", "pop"]).withColumn("n", size).withColumn("s", F.col("state") - 1)
         place = lambda at: F.substring("alleles", (at + 1).cast("int"), F.lit(1))
         a, b = F.when(one, place(F.col("s"))).otherwise(place(F.floor(F.col("s") / F.col("n")))), F.when(one, place(F.col("s"))).otherwise(place(F.col("s") % F.col("n")))
-        true = F.when(a.isin("1", "2") & b.isin("1", "2"), F.when(a == b, F.concat(a, b)).otherwise("12"))
-        t = j.withColumn("true", true).where("true is not null").groupBy("marker", "ind", "true").agg(F.sum("prob").alias("w"))
-        cells = t.join(p.geno.select("marker", "ind", "gt").where("gt <> 'NN'"), ["marker", "ind"]).groupBy(by, "gt", "true").agg(F.sum("w").alias("w"))
-        rows = cells.groupBy(by).agg(F.collect_list(F.struct("gt", "true", "w")).alias("cells"), F.sum("w").alias("n"))
+        actual = F.when(a.isin("1", "2") & b.isin("1", "2"), F.when(a == b, F.concat(a, b)).otherwise("12"))
+        t = j.withColumn("actual", actual).where(F.col("actual").isNotNull()).groupBy("marker", "ind", "actual").agg(F.sum("prob").alias("w"))
+        cells = t.join(p.geno.select("marker", "ind", "gt").where("gt <> 'NN'"), ["marker", "ind"]).groupBy(by, "gt", "actual").agg(F.sum("w").alias("w"))
+        rows = cells.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("gt", "actual", "w"))).alias("cells"), F.sum("w").alias("n"))
 
         @F.pandas_udf("double")
         def search(cells: pd.Series) -> pd.Series:
             grid = np.linspace(-9, 0, 73)
             e = 1 / (1 + np.exp(-grid))
-            true = {"11": 0, "12": 1, "22": 3}
+            place_of = {"11": 0, "12": 1, "22": 3}
             logs = [{g: np.log(np.maximum(v, 1e-300)) for g, v in observed_given_true(float(x)).items()} for x in e]
             out = []
             for own in cells:
-                ll = np.array([sum(c["w"] * t[c["gt"]][true[c["true"]]] for c in own) for t in logs]) + prior_b * np.log1p(-e)
+                ll = np.array([sum(c["w"] * t[c["gt"]][place_of[c["actual"]]] for c in own) for t in logs]) + prior_b * np.log1p(-e)
                 k = int(ll.argmax())
                 # A parabola through the best point of the grid and its neighbours.
                 x = grid[k]

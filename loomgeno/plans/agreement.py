@@ -37,9 +37,14 @@ def founder_matching(spark, d):
     return spark.createDataFrame([(int(e), int(t), int(n)) for e, t, n in rows], "estimated long, matched long, mismatches long")
 
 
-@query()
+_TRIM = """w{k} AS (SELECT *, row_number() OVER (PARTITION BY lg ORDER BY pos, marker) AS nth, count(*) OVER (PARTITION BY lg) AS n, pos - lag(pos) OVER (PARTITION BY lg ORDER BY pos, marker) > 1.5 AS gap FROM t{j}),
+c{k} AS (SELECT lg, any_value(n) AS n, min(nth - 1) FILTER (gap) AS a, max(nth - 1) FILTER (gap) AS b, any_value(most) AS most FROM w{k} GROUP BY 1),
+t{k} AS (SELECT w.lg, marker, pos, w.most FROM w{k} w JOIN c{k} c USING (lg) WHERE nth > CASE WHEN a <= c.most THEN a ELSE 0 END AND nth <= CASE WHEN c.n - b <= c.most THEN b ELSE c.n END)"""
+
+
+@query(f"""WITH {MAP}, t0 AS (SELECT *, 0.2 * count(*) OVER (PARTITION BY lg) AS most FROM map), {", ".join(_TRIM.format(k=k + 1, j=k) for k in range(5))} SELECT lg, marker, round(pos, 4) AS pos FROM t5""")
 def trimmed_maps(spark, d):
-    """Repeats until nothing is cut."""
+    """Five rounds at most."""
     return accuracy.trim_ends(marker_map(spark, d), 1.5, 0.2).withColumn("pos", F.round("pos", 4))
 
 

@@ -67,14 +67,24 @@ def map_issues(spark, d):
     return V.map_issues(table(spark, d, "customer").select(k.alias("nth"), (k % 700).alias("marker"), (F.floor(k / 300) % 3).alias("lg"), (k % 50).alias("pos")))
 
 
-@query("""SELECT 'not genotyped' AS issue, c_custkey AS ind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'not in pedigree', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH g AS (SELECT o_custkey + 7 AS ind FROM orders), p AS (SELECT c_custkey AS ind FROM customer UNION ALL SELECT c_custkey // 100 FROM customer)
+SELECT 'not genotyped' AS issue, ind FROM p WHERE ind NOT IN (SELECT ind FROM g) UNION ALL SELECT 'not in pedigree', ind FROM (SELECT DISTINCT ind FROM g) WHERE ind NOT IN (SELECT ind FROM p) UNION ALL SELECT 'repeated', ind FROM p GROUP BY ind HAVING count(*) > 1""")
 def input_issues(spark, d):
-    return V.input_issues(table(spark, d, "orders").select(F.col("o_custkey").alias("ind")), table(spark, d, "customer").select(F.col("c_custkey").alias("ind")))
-
-
-@query()
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    return V.input_issues(table(spark, d, "orders").select((F.col("o_custkey") + 7).alias("ind")), c.select(k.alias("ind")).unionByName(c.select(F.floor(k / 100).alias("ind"))))
+
+
+@query("""WITH RECURSIVE p AS (SELECT *, unnest([0, 1, 2, 3]) AS i FROM part),
+c AS (SELECT p_partkey AS k, i, ['0/0', '0|1', '..', '1/1', '1/1'][(p_partkey + i) % 5 + 1] AS v FROM p),
+s AS (SELECT 'chr' || (k % 4) AS chrom, k * 100 AS pos, CASE WHEN k % 10 = 0 THEN 'chr' || (k % 4) || '_' || (k * 100) ELSE 'm' || k END AS marker, k % 13 = 0 AS multi, sum(length(v) - length(replace(v, '0', ''))) AS n0, sum(length(v) - length(replace(v, '1', ''))) AS n1, avg(CASE WHEN contains(v, '.') THEN 1.0 ELSE 0.0 END) AS miss, string_agg(v, ',' ORDER BY i) AS h FROM c GROUP BY k),
+o AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos, marker) AS nth, length(marker) % 5 = 0 AS bad FROM s),
+r AS (SELECT chrom, 0::BIGINT AS nth, NULL::BIGINT AS last_pos, NULL::VARCHAR AS last_h, NULL::VARCHAR AS why FROM (SELECT DISTINCT chrom FROM o)
+ UNION ALL SELECT chrom, nth, CASE WHEN why IS NULL THEN pos ELSE last_pos END, CASE WHEN why IS NULL OR why NOT IN ('filter', 'duplicate') THEN h ELSE last_h END, why FROM (SELECT o.chrom, o.nth, o.pos, o.h, r.last_pos, r.last_h,
+  CASE WHEN bad THEN 'filter' WHEN o.h = r.last_h THEN 'duplicate' WHEN o.pos - r.last_pos < 300 THEN 'stretch' WHEN multi THEN 'multiallelic' WHEN least(n0, n1) = 0 THEN 'monomorphic' WHEN miss > 0.3 THEN 'missing' WHEN least(n0, n1) / (n0 + n1) < 0.1 THEN 'maf' END AS why FROM r JOIN o ON o.chrom = r.chrom AND o.nth = r.nth + 1))
+SELECT chrom, pos, marker, why AS reason FROM r JOIN o USING (chrom, nth)""")
 def vcf_line_filter(spark, d):
-    """Compares each marker with the last one kept; SQL has no such state."""
+    """Compares each marker with the last one kept."""
     c = V.vcf_long(_vcf(spark, d), priority=("GT",), keep_multiallelic=True)
     c = c.select("chrom", "pos", "marker", "alt", F.when(F.length("marker") % 5 == 0, "q10").otherwise("PASS").alias("filter"), "sample", F.translate("value", "12N", "01.").alias("value"))
     return V.filter_lines(c, stretch=300, most_missing=0.3, least_maf=0.1)

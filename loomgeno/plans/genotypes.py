@@ -108,15 +108,15 @@ def genotype_frequencies(spark, d):
 PAIRS = "seen AS (SELECT marker, ind, gt, CASE gt WHEN '11' THEN 1 WHEN '12' THEN 2 ELSE 3 END AS dose FROM geno WHERE gt IN ('11', '12', '22')), pairs AS (SELECT a.marker AS m1, b.marker AS m2, a.ind, a.gt AS g1, b.gt AS g2, a.dose AS d1, b.dose AS d2 FROM seen a JOIN seen b ON a.ind = b.ind AND a.marker < b.marker)"
 
 
-#: Least r2 and G that tables of pairs keep.
-LEAST_R2, LEAST_G, LEAST_LOD = 0.5, 12.0, 2.0
+#: Least r2, individuals, G and LOD that tables of pairs keep.
+LEAST_R2, LEAST_N, LEAST_G, LEAST_LOD = 0.5, 9, 12.0, 2.0
 
 
 @query(f"""WITH {GENO}, {PAIRS}, s AS (SELECT m1, m2, count(*) AS n, sum(d1)::BIGINT AS sx, sum(d2)::BIGINT AS sy, sum(d1 * d1)::BIGINT AS sxx, sum(d2 * d2)::BIGINT AS syy, sum(d1 * d2)::BIGINT AS sxy FROM pairs GROUP BY 1, 2),
 v AS (SELECT *, (n * sxy - sx * sy)::DOUBLE AS cov, (n * sxx - sx * sx)::DOUBLE AS vx, (n * syy - sy * sy)::DOUBLE AS vy FROM s)
-SELECT m1, m2, n, round(cov * cov / (vx * vy), 6) AS r2 FROM v WHERE vx > 0 AND vy > 0 AND cov * cov / (vx * vy) >= {LEAST_R2}""")
+SELECT m1, m2, n, round(cov * cov / (vx * vy), 6) AS r2 FROM v WHERE n >= {LEAST_N} AND vx > 0 AND vy > 0 AND cov * cov / (vx * vy) >= {LEAST_R2}""")
 def ld_r2(spark, d):
-    return pairs.ld_r2(geno(spark, d), least=LEAST_R2).withColumn("r2", r("r2"))
+    return pairs.ld_r2(geno(spark, d), least=LEAST_R2, least_n=LEAST_N).withColumn("r2", r("r2"))
 
 
 CELLS = f"""{GENO}, {PAIRS}, cells AS (SELECT m1, m2, g1, g2, count(*) AS c FROM pairs GROUP BY ALL),

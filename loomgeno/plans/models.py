@@ -44,6 +44,7 @@ def hmm_last_posterior(spark, d):
 
 @query()
 def hmm_viterbi(spark, d):
+    """A change of state just before or just after a gap is equally likely, so SQL's rounding may choose otherwise."""
     return hmm.decode(_chains(spark, d), INIT, RATE, two_state, "viterbi", keys=("seq",))
 
 

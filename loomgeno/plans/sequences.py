@@ -106,9 +106,10 @@ def ancestry_calls(spark, d):
     return S.ancestry_call(p, ["marker", "ind"], 0.45).withColumn("prob", F.round("prob", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MAP}, o AS (SELECT lg, marker, pos, (marker % 11) / 11.0::DOUBLE AS miss, row_number() OVER (PARTITION BY lg ORDER BY pos, marker) AS nth FROM map),
+r AS (SELECT lg, nth, pos AS start, 1::BIGINT AS bin FROM o WHERE nth = 1 UNION ALL SELECT o.lg, o.nth, CASE WHEN o.pos - start > 2.0 THEN o.pos ELSE start END, bin + CASE WHEN o.pos - start > 2.0 THEN 1 ELSE 0 END FROM r JOIN o ON o.lg = r.lg AND o.nth = r.nth + 1)
+SELECT lg, bin, arg_min(marker, (miss, pos, marker)) AS representative, count(*) AS n, round(min(pos), 4) AS pos FROM o JOIN r USING (lg, nth) GROUP BY 1, 2""")
 def marker_bins(spark, d):
-    """A bin's start depends on the bin before it, which SQL can't say without recursion by row."""
     m = marker_map(spark, d).withColumn("miss", (F.col("marker") % 11) / 11)
     return S.bins(m, 2.0).withColumn("pos", F.round("pos", 4))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgeno.functions import likelihood, prior, special
@@ -191,8 +192,6 @@ def chromosomes_apart_and_together(spark, d):
 SELECT id, round(CASE WHEN n1 + n2 = 0 THEN 1 ELSE exp(n1 * ln(0.995) + n2 * ln(0.005) - greatest(n1 * ln(0.995) + n2 * ln(0.005), n1 * ln(0.005) + n2 * ln(0.995), (n1 + n2) * ln(0.5))) END, 6) AS l11,
  round(CASE WHEN n1 + n2 = 0 THEN 1 ELSE exp((n1 + n2) * ln(0.5) - greatest(n1 * ln(0.995) + n2 * ln(0.005), n1 * ln(0.005) + n2 * ln(0.995), (n1 + n2) * ln(0.5))) END, 6) AS l12 FROM v""")
 def depth_likelihoods(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("l11 double, l12 double")
     def like(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         x = np.array([likelihood.depth_given_true(int(i), int(j)) for i, j in zip(a, b)]).reshape(len(a), 4)
@@ -206,8 +205,6 @@ def depth_likelihoods(spark, d):
 @query("""WITH c(code, k) AS (VALUES ('11', 0), ('12', 1), ('22', 2), ('NN', 3)), v AS (SELECT c_custkey AS id, (c_custkey % 50 + 1) / 1000.0::DOUBLE AS e, c_custkey % 4 AS k FROM customer)
 SELECT id, code, round(CASE code WHEN '11' THEN (1 - e) ** 2 WHEN '12' THEN 2 * e * (1 - e) WHEN '22' THEN e * e ELSE 1 END, 8) AS given11, round(CASE code WHEN '11' THEN e * (1 - e) WHEN '12' THEN (1 - e) ** 2 + e * e WHEN '22' THEN e * (1 - e) ELSE 1 END, 8) AS given12 FROM v JOIN c USING (k)""")
 def genotype_likelihoods(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("given11 double, given12 double")
     def like(code: pd.Series, e: pd.Series) -> pd.DataFrame:
         x = np.array([likelihood.observed_given_true(float(v))[c] for c, v in zip(code, e)]).reshape(len(e), 4)
@@ -220,8 +217,6 @@ def genotype_likelihoods(spark, d):
 
 @query("""SELECT c_custkey AS id, round((1 + exp(-2 * (c_custkey % 300) * 0.01::DOUBLE)) / 2, 8) AS stay FROM customer""")
 def transition_probabilities(spark, d):
-    import pandas as pd
-
     rate = np.array([[-1.0, 1.0], [1.0, -1.0]])
 
     @F.pandas_udf("double")
@@ -236,8 +231,6 @@ def transition_probabilities(spark, d):
 @query("""WITH v AS (SELECT c_custkey % 100 AS g, (c_custkey * 7 % 23) / 10.0::DOUBLE AS x FROM customer), s AS (SELECT g, count(*) AS n, sum(x) AS total, var_samp(x) AS v FROM v GROUP BY 1)
 SELECT g, round(CASE WHEN v > 0 THEN total / sqrt(n * v) END, 5) + 0.0 AS z FROM s""")
 def vuong_statistics(spark, d):
-    import pandas as pd
-
     k = F.col("c_custkey")
     v = table(spark, d, "customer").select((k % 100).alias("g"), (k * 7 % 23 / 10).alias("x"))
 
@@ -250,8 +243,6 @@ def vuong_statistics(spark, d):
 
 @query("""WITH v AS (SELECT c_custkey AS id, (c_custkey % 40 - 20) / 4.0::DOUBLE AS c FROM customer) SELECT id, round(least(greatest(c, -3), 4), 4) + 0.0 AS x, round(-power(least(greatest(c, -3), 4) - c, 2), 4) + 0.0 AS top FROM v""")
 def bounded_maxima(spark, d):
-    import pandas as pd
-
     @F.pandas_udf("x double, top double")
     def best(c: pd.Series) -> pd.DataFrame:
         seen = {v: special.maximise(lambda x, v=v: -((x - v) ** 2), -3, 4, tol=1e-9) for v in set(c)}
