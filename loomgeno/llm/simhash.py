@@ -226,11 +226,12 @@ def _shared(a: str, b: str) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, k: int) -> DataFrame:
-    """(rid, shingles) of the texts named by wanted(rid, t1, rh); shingles as little-endian bytes."""
+    """(rid, shingles) of the texts named by wanted(rid, t1, rh); shingles as the upper halves of their hashes, little-endian. Two of a
+    text's n shingles share one with a chance of n^2 / 2^33, which moves a similarity by 1 / n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), k).tobytes() for x in b.column(1)], pa.binary())], ["rid", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique((shingle_set(x.as_py(), k) >> np.uint64(32)).astype("<u4")).tobytes() for x in b.column(1)], pa.binary())], ["rid", "shingles"])
 
     rows = docs.select(*_row_key(docs, text_col), F.col(text_col).cast("binary").alias("__text")).join(wanted, ["t1", "rh"]).select("rid", "__text")
     # Rows that are alike in all columns name one text several times.
@@ -244,14 +245,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.empty(len(x))
         for i, (a, b) in enumerate(zip(x, y)):
-            a, b = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+            a, b = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
             both = len(np.intersect1d(a, b, assume_unique=True))
             out[i] = both / max(1, len(a) + len(b) - both)
         return pd.Series(out)
 
     j = pairs.join(sets.withColumnsRenamed({"rid": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"rid": "b", "shingles": "y"}), "b")
     # Sizes alone refuse some pairs: the lesser set must hold the similarity's share of the greater.
-    sized = F.least(F.length("x"), F.length("y")) >= similarity * F.greatest(F.length("x"), F.length("y")) - 8
+    sized = F.least(F.length("x"), F.length("y")) >= similarity * F.greatest(F.length("x"), F.length("y")) - 4
     return j.where(sized).where(jaccard("x", "y") >= similarity - 1e-12).select("a", "b")
 
 
