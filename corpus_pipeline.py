@@ -3,6 +3,10 @@
 Every stage works on all rows that its predecessor kept. All but the last return the columns of documents; the last returns,
 for each document of the mix (a document taken twice is there twice), its number of tokens and the digests of its ids and of
 the text decoded from them.
+
+Defined cases: documents with null, empty or blank text fit no language and go in the second stage, or in the first if its judge
+rejects them; with nothing to learn from, the first two stages keep all; of rows alike in all columns one stays; a null source is a
+source like others; null ids and columns of clashing names pass as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of least doc_id, of each group of near-duplicates."""
+    """One document, of least doc_id, of each group of near-duplicates: five-word shingle sets at a similarity of 0.8 or more."""
     return simhash.dedup(docs)
 
 
