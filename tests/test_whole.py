@@ -73,3 +73,23 @@ def test_groups_with_their_own_markers(spark):
 def test_threshold_of_200_permutations(spark, sf):
     g = geno(spark, sf).where("gt in ('11', '12', '22')").select("marker", "ind", G.dose(F.col("gt")).alias("x"))
     assert registry.queries()["scan_threshold"](spark, sf).first()[0] == scan.permutation_threshold(g, phenotype(spark, sf), 200)
+
+
+def test_shared_cells_give_what_products_give(spark, sf):
+    """Markers whose individuals are few of all are counted cell by cell, over many ranges."""
+    from loomgeno.operators.pairs import block_pairs
+
+    g = geno(spark, sf).where("marker < 90")
+    # Two copies with other keys, which share nothing.
+    twice = g.unionByName(g.withColumn("marker", F.col("marker") + 1000).withColumn("ind", F.col("ind") + 1000))
+
+    def stat(c):
+        return {f"n{i}{j}": c[i, j] for i in range(3) for j in range(3)}, c.sum(axis=(0, 1)) >= 2
+
+    columns = ", ".join(f"n{i}{j} long" for i in range(3) for j in range(3))
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = plain(block_pairs(twice, stat, columns, least_n=2, filled=0.0))
+    assert len(want) > 1000
+    for block in (None, 7, 500):
+        assert plain(block_pairs(twice, stat, columns, block, least_n=2, filled=9.0)) == want
+    assert plain(block_pairs(twice, stat, columns, 7, 5, least_n=2, filled=9.0)) == [r for r in want if r[1] - r[0] <= 5]
