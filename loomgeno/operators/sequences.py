@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,11 +111,83 @@ def neighbour_lists(pairs: DataFrame, k: int) -> DataFrame:
     return both.withColumn("n", rn).where(F.col("n") <= k).groupBy(F.col("a").alias("marker")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("b").cast("string").alias("b")))), lambda x: x["b"]), "||").alias("neighbours"))
 
 
+#: A similarity of row ids with column ids: arrays (rows x 1) and (1 x columns) to values (rows x columns), symmetric.
+Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Values held at once while rows meet all columns.
+VALUES = 1 << 21
+
+
+def _rows_of(ids: DataFrame, similarity: Similarity, k: int, always: float, links: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, later: bool = False) -> DataFrame:
+    """ids(id), distinct longs: each row's similarities to all ids, some rows and columns at a time. What stays of a row are its k largest
+    values, the first id of equals, and those of at least `always`; NaN is no value. With `later`, only ids from the row's on are met. The ids alone go to every task; no pair is a row
+    of a table before it is kept."""
+    every = np.sort(np.array([r[0] for r in ids.select(F.col("id").cast("long")).distinct().collect()], dtype=np.int64))
+    spark = ids.sparkSession
+    shared = spark.sparkContext.broadcast(every)
+    step = max(1, min(64, VALUES // max(1, len(every))))
+    columns = max(1, VALUES // step)
+    tasks = max(1, min(len(every), max(64, len(every) * len(every) // 200_000_000)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = shared.value
+        for b in batches:
+            for part in b["id"]:
+                mine = x[part::tasks]
+                for at in range(0, len(mine), step):
+                    a = mine[at : at + step]
+                    top = [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
+                    for lo in range(int(np.searchsorted(x, a[0])) if later else 0, len(x), columns):
+                        c = x[lo : lo + columns]
+                        v = similarity(a[:, None], c[None, :])
+                        v = np.where((a[:, None] == c[None, :]) | np.isnan(v), -np.inf, v)
+                        least = np.partition(v, -k, axis=1)[:, -k][:, None] if 0 < k < len(c) else np.full((len(a), 1), -np.inf if k else np.inf)
+                        r, j = np.nonzero((v > -np.inf) & ((v >= least) | (v >= always)))
+                        top = [np.concatenate(z) for z in zip(top, (r, c[j], v[r, j]))]
+                        order = np.lexsort((top[1], -top[2], top[0]))
+                        top = [z[order] for z in top]
+                        n = np.arange(len(top[0])) - np.searchsorted(top[0], top[0]) + 1
+                        top = [z[(n <= k) | (top[2] >= always)] for z in top]
+                    n = np.arange(len(top[0])) - np.searchsorted(top[0], top[0]) + 1
+                    yield links(a[top[0]], top[1], top[2], n)
+
+    return spark.range(0, tasks, 1, tasks).mapInPandas(run, schema)
+
+
+def nearest_of(ids: DataFrame, similarity: Similarity, k: int, always: float) -> DataFrame:
+    """nearest() of all pairs of ids(id) by a similarity, without a row a pair. A pair of at least `always` is given by its lesser id."""
+
+    def links(a: np.ndarray, b: np.ndarray, v: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "v": v})
+
+    def once(a: np.ndarray, b: np.ndarray, v: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        return links(*(x[a < b] for x in (a, b, v, n)))
+
+    schema = "a long, b long, v double"
+    # Both ends may have chosen a pair below `always`; those above are many and are taken in a pass of their own, so they aren't shuffled.
+    return _rows_of(ids, similarity, 0, always, once, schema, True).unionByName(_rows_of(ids, similarity, k, np.inf, links, schema).where(F.col("v") < always).distinct())
+
+
+def neighbour_lists_of(ids: DataFrame, similarity: Similarity, k: int) -> DataFrame:
+    """neighbour_lists() of all pairs of ids(id) by a similarity, without a row a pair."""
+
+    def links(a: np.ndarray, b: np.ndarray, v: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        first = np.flatnonzero(n == 1)
+        return pd.DataFrame({"marker": a[first], "neighbours": ["||".join(map(str, x)) for x in np.split(b, first[1:])] if len(first) else []})
+
+    return _rows_of(ids, similarity, k, np.inf, links, "marker long, neighbours string")
+
+
 def ancestry_call(post: DataFrame, keys: list[str], least: float) -> DataFrame:
     """post(keys, state, prob): the most likely state, the first of equals, if its probability exceeds `least`."""
     return post.groupBy(*keys).agg(F.min_by(F.struct("state", "prob"), F.struct(-F.col("prob"), F.col("state"))).alias("b")).select(*keys, F.when(F.col("b.prob") > least, F.col("b.state")).alias("state"), F.col("b.prob").alias("prob"))
 
 
+def array_call(probs: Column, least: float) -> tuple[Column, Column]:
+    """(state, prob) of ancestry_call() where a row holds the probabilities of states 1, 2, ... as an array: nothing is grouped."""
+    best = F.array_max(F.transform(probs, lambda p, i: F.struct(p.alias("prob"), (-1 - i).alias("back"))))
+    return F.when(best["prob"] > least, -best["back"]), best["prob"]
+
+
 def bins(markers: DataFrame, width: float) -> DataFrame:
     """markers(lg, marker, pos, miss): bins start at a marker and hold those within `width` of the start; the representative is
     the one with least missing, the first of equals. Where a bin starts depends on the last, so this runs group by group."""

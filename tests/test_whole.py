@@ -93,3 +93,34 @@ def test_shared_cells_give_what_products_give(spark, sf):
     for block in (None, 7, 500):
         assert plain(block_pairs(twice, stat, columns, block, least_n=2, filled=9.0)) == want
     assert plain(block_pairs(twice, stat, columns, 7, 5, least_n=2, filled=9.0)) == [r for r in want if r[1] - r[0] <= 5]
+
+
+def test_neighbours_of_a_similarity(spark):
+    """Rows that meet all others block by block keep what the table of all pairs keeps; no pair is a row before."""
+    import numpy as np
+
+    from loomgeno.operators import sequences as S
+
+    rng = np.random.default_rng(3)
+    ids = np.sort(rng.choice(100_000, 300, replace=False))
+    like = lambda a, b: np.where((a + b) % 3 == 0, np.minimum(a, b) * 31 % 97 * (np.maximum(a, b) % 89) % 50 / 50.0, np.nan)
+    rows = [(int(a), int(b), float(like(a, b))) for i, a in enumerate(ids) for b in ids[i + 1 :] if (a + b) % 3 == 0]
+    pairs, table = spark.createDataFrame(rows, "a long, b long, v double"), spark.createDataFrame([(int(i),) for i in ids], "id long")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    old = S.VALUES
+    for most in (old, 1000):
+        S.VALUES = most
+        assert plain(S.nearest_of(table, like, 4, 0.97)) == plain(S.nearest(pairs, 4, 0.97))
+        assert plain(S.neighbour_lists_of(table, like, 3)) == plain(S.neighbour_lists(pairs, 3))
+    S.VALUES = old
+
+
+def test_calls_of_arrays(spark):
+    from loomgeno.operators import sequences as S
+
+    rows = [(k, [(k * 7 % 5) / 10, (k * 3 % 5) / 10, 0.3]) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, p array<double>")
+    state, prob = S.array_call(F.col("p"), 0.35)
+    long = df.select("k", F.posexplode("p").alias("state", "prob")).withColumn("state", F.col("state") + 1)
+    want = sorted(map(tuple, S.ancestry_call(long, ["k"], 0.35).select("k", "state", "prob").collect()))
+    assert sorted(map(tuple, df.select("k", state, prob).collect())) == want
