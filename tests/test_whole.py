@@ -124,3 +124,34 @@ def test_calls_of_arrays(spark):
     long = df.select("k", F.posexplode("p").alias("state", "prob")).withColumn("state", F.col("state") + 1)
     want = sorted(map(tuple, S.ancestry_call(long, ["k"], 0.35).select("k", "state", "prob").collect()))
     assert sorted(map(tuple, df.select("k", state, prob).collect())) == want
+
+
+def test_chains_of_different_steps_go_together(spark):
+    import numpy as np
+
+    from loomgeno.operators import hmm
+
+    rng = np.random.default_rng(4)
+    rate, init = np.array([[-1.0, 0.6, 0.4], [0.5, -1.0, 0.5], [0.2, 0.8, -1.0]]), np.array([0.2, 0.3, 0.5])
+    lengths = [5, 1, 9, 5, 3]
+    start, emit, gaps = np.cumsum(lengths) - lengths, rng.random((23, 3)), rng.choice([0.0, 5e-6, 0.02, 0.3], 23)
+    post, ll = hmm.posterior_mixed(init, rate, gaps, start, emit, {})
+    for lo, n, own in zip(start, lengths, ll):
+        p, want = hmm.posterior(init, [hmm.transition(rate, g) for g in gaps[lo + 1 : lo + n]], emit[lo : lo + n])
+        assert np.allclose(post[lo : lo + n], p, atol=1e-12) and np.isclose(own, want)
+
+
+def test_founders_are_not_broadcast(spark, sf):
+    """Their tables grow with the markers, though a plan thinks them small."""
+    for name in ("marker_errors", "individual_errors", "corrected_founders", "reconstructed_origins"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("MapInPandas") > 0
+
+
+def test_founders_whose_candidates_are_taken(spark):
+    """The first free one is left to those whose candidates are taken, and nobody is left to the last."""
+    from loomgeno.operators import accuracy
+
+    truth = spark.createDataFrame([(1, 5, "11"), (1, 6, "22"), (2, 9, "11")], "marker long, founder long, allele string")
+    est = spark.createDataFrame([(1, 1, "22"), (2, 2, "11"), (2, 3, "11"), (1, 4, "11")], "marker long, founder long, allele string")
+    assert sorted(map(tuple, accuracy.match_founders(truth, est).collect())) == [(1, 6, 0), (2, 9, 0), (3, 5, 0)]
