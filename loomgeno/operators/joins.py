@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +70,15 @@ def set_relations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def ancestors(ped: DataFrame, members: DataFrame, most: int = 64) -> DataFrame:
     """(member, ancestor): the members themselves and all above them; founders' parent 0 is nobody. Each generation is one
-    join of the new pairs only."""
-    edges = ped.select(F.col("member").alias("child"), F.explode(F.array("mother", "father")).alias("parent")).where("parent <> 0").distinct()
-    found = new = members.select("member", F.col("member").alias("ancestor")).distinct()
+    join of the last one's pairs, that is those at one distance; pairs met at several are put together at the end, once."""
+    edges = checkpoint(ped.select(F.col("member").alias("child"), F.explode(F.array("mother", "father")).alias("parent")).where("parent <> 0").distinct())
+    new = members.select("member", F.col("member").alias("ancestor")).distinct()
+    found = [new]
     for _ in range(most):
-        step = new.join(edges, new["ancestor"] == edges["child"]).select("member", F.col("parent").alias("ancestor")).distinct()
-        new = checkpoint(step.join(found, ["member", "ancestor"], "left_anti"))
+        new = checkpoint(new.join(edges.hint("shuffle_hash"), new["ancestor"] == edges["child"]).select("member", F.col("parent").alias("ancestor")).distinct())
         if new.isEmpty():
-            return found
-        found = found.unionByName(new)
+            return reduce(DataFrame.unionByName, found).distinct()
+        found.append(new)
     raise RuntimeError("pedigree deeper than expected, or cyclic")
 
 
@@ -89,7 +91,8 @@ def generations(ped: DataFrame, most: int = 64) -> DataFrame:
     met = []
     for k in range(most):
         met.append(now.withColumn("generation", F.lit(k)))
-        now = checkpoint(now.join(edges, now["member"] == edges["parent"]).select(F.col("child").alias("member")).distinct())
+        # Both grow with the pedigree, so neither is broadcast.
+        now = checkpoint(now.join(edges.hint("merge"), now["member"] == edges["parent"]).select(F.col("child").alias("member")).distinct())
         if now.isEmpty():
             out = met[0]
             for m in met[1:]:

@@ -176,3 +176,15 @@ def test_permutations_some_at_a_time(spark, sf):
         assert abs(scan.permutation_threshold(g, phenotype(spark, sf), 60) - want) < 1e-12
     finally:
         scan.MOST_BYTES, scan.TASK = old
+
+
+def test_ancestors_at_several_distances(spark):
+    """4 is above 7 as a parent and as a grandparent, and counts once; no generation is compared with all before it."""
+    from loomgeno.operators import joins
+
+    ped = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (4, 1, 2), (5, 4, 1), (7, 5, 4)], "member long, mother long, father long")
+    found = joins.ancestors(ped, ped.select("member"))
+    want = {1: {1}, 2: {2}, 4: {1, 2, 4}, 5: {1, 2, 4, 5}, 7: {1, 2, 4, 5, 7}}
+    assert sorted(map(tuple, found.collect())) == sorted((m, a) for m, x in want.items() for a in x)
+    assert "LeftAnti" not in found._jdf.queryExecution().toString()
+    assert {r.member: r.generation for r in joins.generations(ped).collect()} == {1: 0, 2: 0, 4: 1, 5: 2, 7: 3}
