@@ -1,5 +1,6 @@
 """Queries without SQL take in all that their operators should."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgeno.functions import genotype as G
@@ -188,3 +189,91 @@ def test_ancestors_at_several_distances(spark):
     assert sorted(map(tuple, found.collect())) == sorted((m, a) for m, x in want.items() for a in x)
     assert "LeftAnti" not in found._jdf.queryExecution().toString()
     assert {r.member: r.generation for r in joins.generations(ped).collect()} == {1: 0, 2: 0, 4: 1, 5: 2, 7: 3}
+
+
+def _brute(cells, least_n):
+    """(m1, m2, nine counts) of pairs of markers that share enough individuals."""
+    of = {}
+    for m, i, g in cells:
+        of.setdefault(int(m), {})[int(i)] = int(g)
+    out = []
+    for a in sorted(of):
+        for b in sorted(of):
+            both = of[a].keys() & of[b].keys()
+            if a < b and len(both) >= least_n:
+                c = [0] * 9
+                for i in both:
+                    c[of[a][i] * 3 + of[b][i]] += 1
+                out.append((a, b, *c))
+    return out
+
+
+def _some_cells(markers, people, n, copies=1, seed=1):
+    """Cells (marker, ind, g), no two alike in marker and ind; every third marker is a near copy of the one before."""
+    rng = np.random.default_rng(seed)
+    cells = {}
+    for m in range(markers):
+        if m % 3 == 2:
+            for i, g in list(cells[m - 1].items()):
+                cells.setdefault(m, {})[i] = g if rng.random() < 0.95 else (g + 1) % 3
+        else:
+            cells[m] = {int(i): int(rng.integers(3)) for i in rng.choice(people, n, replace=False)}
+    return np.array([(m + k * markers, i + k * people, g) for k in range(copies) for m in cells for i, g in cells[m].items()])
+
+
+def test_shared_cells_are_counted_alike_in_three_ways(monkeypatch):
+    cells = _some_cells(60, 40, 20)
+    m, i, g = cells[np.argsort(cells[:, 0], kind="stable")].T
+    names = [f"n{k}" for k in range(9)]
+
+    def counted(least_n, same=0, band=None, cut=30):
+        def stat(c):
+            c = c.reshape(9, -1)
+            return dict(zip(names, c)), c[[0, 4, 8]].sum(axis=0) >= same
+
+        own = pairs.Cells(*(x[m < cut] for x in (m, i, g)), same)
+        met = [own.meet(*(x[s] for x in (m, i, g)), stat, names, band, least_n) for s in (m < cut, m >= cut)]
+        return sorted(tuple(r.values()) for tables in met for t in tables for r in t.to_pylist())
+
+    want = {n: [r for r in _brute(cells, n) if r[0] < 30] for n in (1, 12)}
+    assert 0 < len(want[12]) < len(want[1])
+    for sparse in (0, 1 << 30):
+        for step in (1 << 21, 50):
+            monkeypatch.setattr(pairs, "SPARSE", sparse)
+            monkeypatch.setattr(pairs, "STEP", step)
+            monkeypatch.setattr(pairs, "BUCKETS", 1 << 20 if step > 50 else 64)
+            for n in (1, 12):
+                assert counted(n) == want[n]
+                assert counted(n, band=4) == [r for r in want[n] if r[1] - r[0] <= 4]
+                alike = [r for r in want[n] if r[2] + r[6] + r[10] >= 8]
+                assert counted(n, 8) == alike and alike
+
+
+def test_duplicates_of_many_markers_are_all_pairs(spark):
+    """Where few cells are filled, over many ranges, as by counting all pairs."""
+    cells = _some_cells(45, 30, 15, copies=6)
+    g = spark.createDataFrame([(int(m) * 10**12 - 7, int(i) - 3, ("11", "12", "22")[x]) for m, i, x in cells], "marker long, ind long, gt string")
+    seen = np.bincount(cells[:, 0])
+    for least, share, most in ((8, 0.3, 0.1), (10, 0.9, 0.3), (6, 0.0, 1.0)):
+        want = [(a * 10**12 - 7, b * 10**12 - 7, sum(c), sum(c) - c[0] - c[4] - c[8]) for a, b, *c in _brute(cells, least) if sum(c) >= share * max(seen[a], seen[b])]
+        want = [r for r in want if r[3] <= most * r[2]]
+        for block in (None, 7, 500):
+            assert sorted(map(tuple, pairs.duplicate_markers(g, least, share, most_differ=most, block=block).collect())) == want and len(want) > 50
+
+
+def test_pairs_that_share_nothing_take_no_room(monkeypatch):
+    """Tables of counts grow with shared cells, not with pairs of markers."""
+    n, tables = 20_000, []
+    counted = np.bincount
+
+    def bincount(x, minlength=0, **k):
+        tables.append(minlength)
+        assert sum(tables) < 50 * n + (1 << 23)
+        return counted(x, minlength=minlength, **k)
+
+    monkeypatch.setattr(pairs.np, "bincount", bincount)
+    for least_n in (1, 2):
+        marker, ind = np.repeat(np.arange(n), least_n), np.repeat(np.arange(n) // 2, least_n) * least_n + np.tile(np.arange(least_n), n)
+        own = pairs.Cells(marker, ind, np.ones(n * least_n, dtype=np.int8))
+        found = [t.num_rows for t in own.meet(marker, ind, np.ones(n * least_n, dtype=np.int8), lambda c: ({"n": c.sum(axis=(0, 1))}, np.ones(c.shape[2], dtype=bool)), ["n"], None, least_n)]
+        assert sum(found) == n // 2
